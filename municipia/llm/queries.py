@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from municipia.llm import jaccard_join, language_id, quality_rules, sentencepiece_codec, token_files
+from municipia.llm import decontamination, jaccard_join, language_id, quality_rules, sentencepiece_codec, token_files
 from municipia.llm.shared import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, digest=True)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_files": op8_token_files,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 
