@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from municipia.llm import decontamination, jaccard_join, language_id, quality_rules, sentencepiece_codec, token_files
+from municipia.llm import (
+    chat_perspectives,
+    decontamination,
+    jaccard_join,
+    language_id,
+    license_scan,
+    lm_scoring,
+    quality_ranking,
+    quality_rules,
+    sentencepiece_codec,
+    token_files,
+)
 from municipia.llm.shared import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,10 +29,28 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents that the labels call good and not toxic."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lm_scoring.loss_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_perspectives.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -42,11 +71,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_quality_ranking": op3_quality_ranking,
     "op4_language_id": op4_language_id,
+    "op5_chat_perspectives": op5_chat_perspectives,
+    "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_perspectives": chat_perspectives.ORACLE,
+}
