@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from municipia.llm import signature_tree
@@ -181,7 +181,7 @@ def tree_pairs(members: DataFrame, classes: DataFrame, first_only: bool, num: in
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of a written table whose whole shingle sets link."""
     named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    ids = classes.join(named, "cls", "left_semi").select("doc_id").distinct()
+    ids = written(classes.join(named, "cls", "left_semi").select("doc_id").distinct())
     sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), words)
     with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -225,3 +225,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     final = written(least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cls", "component_id"))
     unlinked = held.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return held.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("doc_id", "n_shingles", "cls").join(final, "cls").select("doc_id", "n_shingles", "component_id").union(unlinked)
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group: of the rows that carry the group's least doc_id the one
+    with the least text, and rows without doc_id."""
+    first = near_duplicates(docs.select("doc_id", "text"), **options).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    held = docs.select(F.struct("*").alias("doc"))
+    kept = held.join(written(first), F.col("doc.doc_id") == F.col("first"), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc.doc_id").orderBy(F.asc_nulls_first("doc.text")))
+    return kept.withColumn("place", place).where("place = 1").union(held.where("doc.doc_id is null").withColumn("place", F.lit(1))).select("doc.*")
