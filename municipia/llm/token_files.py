@@ -15,10 +15,10 @@ of their text; an empty table gives an empty file.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ MAGIC, HEAD = b"PFB1", 12
 BLOCK_IDS, PERCENTILE = 256, 90
 #: A segment is closed once it has so many ids; it always holds whole documents.
 SEGMENT_IDS = 1 << 18
-TABLE_SIZE = 400_000
+#: Distinct words that a worker keeps; beyond it the table is begun anew, which changes no result.
+TABLE_SIZE = 1_000_000
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -111,10 +112,6 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None, block_ids: i
 
 # --- encoding -------------------------------------------------------------------------------------------------------
 
-#: A blank beside white space (or what some release of Unicode calls so), or at an end of the text.
-LOOSE_BLANK = re.compile(r"(?:^|[\s᠎​﻿]) | (?:[\s᠎​﻿]|$)")
-
-
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -125,35 +122,91 @@ def tokenizer(path: str):
     return found
 
 
+def _open(c: str) -> bool:
+    """Whether c could be white space to some release of Unicode."""
+    return c.isspace() or c in "\u180e\u200b\ufeff"
+
+
 class WordTable:
-    """The ids, as bytes, of each distinct word behind a blank; its pre-tokens never reach over such a blank."""
+    """The ids, as bytes, of each distinct word behind a blank.
+
+    A pre-token never reaches over a blank, or a line feed, that has other characters than white space on both sides, nor
+    over one mark between a letter and such a place. So a word's ids are those of its lines, and a line's are those of its
+    stem and its last mark; stems are encoded many at a time, parted again where an id starts with a blank or line feed.
+    A text with a word that is empty or has white space at an end is encoded whole.
+    """
+
+    MARKS = frozenset(".,;:!?")
 
     def __init__(self, path: str, size: int = TABLE_SIZE):
-        self.tokenizer, self.size, self.rows = tokenizer(path), size, {}
+        self.tokenizer, self.size = tokenizer(path), size
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
+        self.rows: dict[str, bytes] = {}
+        self.unclean: set[str] = set()
+        self.mark_ids = {m: self._whole([m])[0] for m in self.MARKS}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """As _whole, for words that each start with a blank or a line feed."""
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        out: list[bytes] = []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            at = np.flatnonzero(self.opens[ids]) * 4
+            if len(at) != len(group):
+                out += self._whole(group)
+                continue
+            raw, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip(at.tolist(), ends, strict=True)]
+        return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _learn(self, words: set[str]) -> None:
+        lines: dict[str, list[tuple[str, bytes]]] = {}
+        stems: dict[str, bytes] = {}
+        for word in words:
+            parts = word.split("\n")
+            if any(not p or _open(p[0]) or _open(p[-1]) for p in parts):
+                self.unclean.add(word)
+                continue
+            mine = lines[word] = []
+            for i, part in enumerate(parts):
+                mark = part[-1] in self.MARKS and part[-2:-1].isalpha()
+                stem = ("\n" if i else " ") + (part[:-1] if mark else part)
+                stems[stem] = b""
+                mine.append((stem, self.mark_ids[part[-1]] if mark else b""))
+        stems = dict(zip(stems, self._joined(list(stems)), strict=True))
+        for word, mine in lines.items():
+            self.rows[word] = b"".join([x for stem, mark in mine for x in (stems[stem], mark)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if t and not LOOSE_BLANK.search(t)}
-        words = {w for parts in cut.values() for w in parts[1:]}
-        new = words - self.rows.keys()
+        cut = [t.split(" ") for t in texts]
+        new = set(filterfalse(self.rows.__contains__, chain.from_iterable(islice(parts, 1, None) for parts in cut)))
         if len(self.rows) + len(new) > self.size:
             self.rows.clear()
-            new = words
-        new = list(new)
-        for word, ids in zip(new, self._encode([f" {w}" for w in new]), strict=True):
-            self.rows[word] = ids
-        whole = [i for i, t in enumerate(texts) if t and i not in cut]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            self.unclean.clear()
+            new = set(chain.from_iterable(islice(parts, 1, None) for parts in cut))
+        self._learn(new - self.unclean)
+        odd = self.unclean & new
+        whole = [i for i, parts in enumerate(cut) if texts[i] and (not parts[0] or _open(parts[0][-1]) or (odd and not odd.isdisjoint(parts[1:])))]
+        out = [b""] * len(texts)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        heads = list(cut)
-        for i, ids in zip(heads, self._encode([cut[i][0] for i in heads]), strict=True):
-            out[i] = b"".join([ids, *map(self.rows.__getitem__, cut[i][1:])])
+        rest = [i for i in sorted(set(range(len(texts))).difference(whole)) if texts[i]]
+        for i, ids in zip(rest, self._whole([cut[i][0] for i in rest]), strict=True):
+            out[i] = b"".join([ids, *map(self.rows.__getitem__, islice(cut[i], 1, None))])
         return out
 
 
+@lru_cache(maxsize=1)
+def word_table(path: str) -> WordTable:
+    """One table for all tasks of a worker: what a word's ids are depends on nothing else."""
+    return WordTable(path)
+
+
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
@@ -165,7 +218,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordTable(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        words, end = word_table(tokenizer_path), np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId()
         held: list[tuple[pa.Array, list[bytes]]] = []
         ids_held, begun, segment = 0, 0, 0
