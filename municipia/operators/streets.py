@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from municipia.functions import constants as K
 from municipia.functions.text import norm, without_leading_zeros
@@ -105,7 +106,7 @@ def exact_matches(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return best.select("commune", "doc", "pos", "best.n", "best.name", F.lit(1.0).alias("score"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio; a is the text's, b the key's."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
