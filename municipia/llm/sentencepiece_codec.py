@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import pyarrow as pa
 import sentencepiece
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from municipia.llm.shared import blocks
 
 MARK = "▁"
-#: Distinct chunks that a task keeps; beyond it the table is begun anew, which changes no result.
-TABLE_SIZE = 400_000
+#: Distinct chunks that a worker keeps; beyond it the table is begun anew, which changes no result.
+TABLE_SIZE = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -63,33 +64,33 @@ def marked_words(text: str) -> list[str]:
 
 
 class ChunkTable:
-    """Of each distinct marked word: its ids, the ids as text, and what they decode to."""
+    """Of each distinct marked word: the number of its ids, the ids as text, and what they decode to."""
 
     def __init__(self, model: str, size: int = TABLE_SIZE):
         self.sp, self.size, self.rows = processor(model), size, {}
 
     def learn(self, texts: list[list[str]]) -> None:
-        new = {w for words in texts for w in words} - self.rows.keys()
+        new = list(set(filterfalse(self.rows.__contains__, chain.from_iterable(texts))))
         if len(self.rows) + len(new) > self.size:
             self.rows.clear()
-            new = {w for words in texts for w in words}
-        new = list(new)
-        for word, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-            # a word that is empty stands for the marker alone, which the library adds only before a text
-            ids = ids or [self.sp.piece_to_id(MARK)]
-            self.rows[word] = (ids, ",".join(map(str, ids)), self.sp.decode(ids))
-
-    def ids(self, words: list[str]) -> list[int]:
-        return [i for w in words for i in self.rows[w][0]]
-
-    def digest(self, words: list[str]) -> tuple[int, str, str]:
-        rows = [self.rows[w] for w in words]
-        decoded = " ".join(r[2] for r in rows)
-        return (
-            sum(len(r[0]) for r in rows),
-            hashlib.sha256(",".join(r[1] for r in rows).encode()).hexdigest(),
-            hashlib.sha256(decoded.encode()).hexdigest(),
-        )
+            new = list(set(chain.from_iterable(texts)))
+        # a word that is empty stands for the marker alone, which the library adds only before a text
+        ids = [x or [self.sp.piece_to_id(MARK)] for x in self.sp.encode(new, num_threads=1)]
+        for word, mine, decoded in zip(new, ids, self.sp.decode(ids, num_threads=1), strict=True):
+            self.rows[word] = (len(mine), str(mine)[1:-1].replace(" ", ""), decoded)
+
+    def joined(self, words: list[str]) -> tuple[int, str, str]:
+        """Number of ids, ids as text, decoded text, by position."""
+        if not words:
+            return 0, "", ""
+        n, ids, decoded = zip(*map(self.rows.__getitem__, words), strict=True)
+        return sum(n), ",".join(ids), " ".join(decoded)
+
+
+@lru_cache(maxsize=1)
+def chunk_table(model: str) -> ChunkTable:
+    """One table for all tasks of a worker: what a chunk's ids are depends on nothing else."""
+    return ChunkTable(model)
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,12 +98,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     assert_chunkable(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkTable(model)
+        chunks = chunk_table(model)
         for block in blocks(batches, text_col):
             texts = [marked_words(t or "") for t in block.column(text_col).to_pylist()]
             chunks.learn(texts)
-            ids = [chunks.ids(words) for words in texts]
-            decoded = [" ".join(chunks.rows[w][2] for w in words) for words in texts]
+            found = [chunks.joined(words) for words in texts]
+            ids = [[int(i) for i in x[1].split(",")] if x[0] else [] for x in found]
+            decoded = [x[2] for x in found]
             yield pa.RecordBatch.from_arrays([block.column(id_col), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -114,12 +116,17 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
     assert_chunkable(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkTable(model)
+        chunks = chunk_table(model)
         for block in blocks(batches):
             texts = [marked_words(t or "") for t in block.column("text").to_pylist()]
             chunks.learn(texts)
-            n, ids, decoded = zip(*(chunks.digest(words) for words in texts), strict=True)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, ids, decoded = [], [], []
+            for words in texts:
+                count, listed, text = chunks.joined(words)
+                n.append(count)
+                ids.append(hashlib.sha256(listed.encode()).hexdigest())
+                decoded.append(hashlib.sha256(text.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
