@@ -67,7 +67,7 @@ def read_osm_xml(spark: SparkSession, path: str, commune: str) -> tuple[DataFram
         return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
     pairs = "array<struct<_k:string,_v:string>>"
-    tagged = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"], t["_v"])), F.array().cast("array<struct<k:string,v:string>>")))
+    tagged = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>")))
     nodes = rows("node", f"_id long, _lat double, _lon double, tag {pairs}").select(F.lit(commune).alias("commune"), F.col("_id").alias("node"), F.col("_lon").alias("x"), F.col("_lat").alias("y")).distinct()
     ways = rows("way", f"_id long, nd array<struct<_ref:long>>, tag {pairs}")
     return nodes, ways.select(F.lit(commune).alias("commune"), F.col("_id").alias("id"), tagged.alias("tags"), F.transform("nd", lambda n: n["_ref"]).alias("nodes"))
