@@ -69,14 +69,16 @@ def test_no_documents(no_docs):
 def test_tree_pairs_hold_all_similar_pairs():
     rng = np.random.default_rng(2)
     universe = rng.integers(0, 2**63, 4000, dtype=np.uint64)
-    sets = [rng.choice(universe, rng.integers(80, 120), replace=False) for _ in range(40)]
+    sets = [rng.choice(universe, rng.integers(130, 190), replace=False) for _ in range(40)]
     for s in list(sets):
         for _ in range(3):
             t = s.copy()
-            t[: rng.integers(0, 20)] = rng.integers(0, 2**63)
+            k = rng.integers(0, 20)
+            t[:k] = rng.integers(0, 2**63, k, dtype=np.uint64)
             sets.append(np.unique(t))
     sets.sort(key=len)
-    bits = np.stack([signature_tree.fold(signature_tree.bitmap(s), 2) for s in sets])
+    maps = [signature_tree.bitmap(s) for s in sets]
+    bits = np.stack([signature_tree.fold(m, min(map(len, maps))) for m in maps])
     tree = signature_tree.Tree(bits, np.array([len(s) for s in sets]), np.arange(len(sets)))
     left = set(zip(*(x.tolist() for x in signature_tree.traverse(tree, tree, 4, 5)), strict=True))
     alike = {(j, i) for i, j in combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
