@@ -14,6 +14,7 @@ from municipia.llm import (
     language_id,
     license_scan,
     lm_scoring,
+    oracles,
     quality_ranking,
     quality_rules,
     sentencepiece_codec,
@@ -90,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": oracles.JACCARD_JOIN,
     "op5_chat_perspectives": chat_perspectives.ORACLE,
+    "op6_license_scan": oracles.license_scan(license_scan.TEMPLATES),
+    "op9_decontamination": oracles.DECONTAMINATION,
 }
