@@ -57,7 +57,8 @@ def positional_index(docs: DataFrame, terms: DataFrame, *keep: Column) -> DataFr
 def vocabulary(items: DataFrame) -> DataFrame:
     """tid, term of the distinct terms of item_terms(), and tid 0 for the head of a row."""
     distinct = items.select("term").distinct()
-    return written(distinct.select((F.monotonically_increasing_id() + 1).alias("tid"), "term").union(items.sparkSession.createDataFrame([(0, "")], "tid long, term string")))
+    head = items.sparkSession.range(1).select(F.col("id").alias("tid"), F.lit("").alias("term"))
+    return written(distinct.select((F.monotonically_increasing_id() + 1).alias("tid"), "term").union(head))
 
 
 def rarest_pairs(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:

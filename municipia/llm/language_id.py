@@ -112,9 +112,6 @@ class Model:
     p: np.ndarray
     vocabulary: str
 
-    def table(self) -> "WordScores":
-        return WordScores(self)
-
 
 def forward(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
     """Log-probability of each marked word, summed over its segmentations, for each column of p."""

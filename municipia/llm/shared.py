@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds in working arrays at once; a longer text is held alone.
 BLOCK_BYTES = 2_000_000
@@ -39,10 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sha256_hex(column) -> F.Column:
-    return F.sha2(column, 256)
-
-
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows again, in slices of about ``limit`` bytes of text; a null text counts as empty."""
     for batch in batches:
