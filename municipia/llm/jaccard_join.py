@@ -7,7 +7,8 @@
    Blocks of the same members collapse to one; a block larger than ``BLOCK`` is split by a hash into chunks and each pair
    of chunks becomes a block, so no task holds more than two chunks.
 3. In a block, a signature tree over bitmaps and size ranges is traversed against itself (``signature_tree``). The first
-   traversal reports one possible partner for each member; exact overlaps of those give components. The second reports
+   traversal, over each class's largest blocks, reports the likeliest partner of each member; exact overlaps of those give
+   components. The second reports
    every possible pair of members that are still in different components. All reported pairs are checked on whole shingle
    sets, so the links between components are exact, and no link that would change a component is lost.
 
@@ -36,8 +37,11 @@ from municipia.llm.words import hashes, mix, shingles
 WORDS = 5
 #: The threshold, intersection / union >= NUM / DEN.
 NUM, DEN = 4, 5
-HOT_SHINGLES = 1 << 16
+HOT_SHINGLES = 1 << 18
+SPAN = 4_000_000
 BLOCK = 4096
+#: Blocks of each class in the first traversal.
+HEAD_START = 8
 
 
 def digest(sh: np.ndarray) -> bytes:
@@ -46,33 +50,52 @@ def digest(sh: np.ndarray) -> bytes:
 
 
 def hot_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT_SHINGLES) -> np.ndarray:
-    """The shingles in most documents, sorted: a shingle counts where three documents or more of a task's block hold it."""
+    """The shingles in most documents, sorted: a shingle counts where three texts or more of a task's span hold it, a span
+    being ``SPAN`` shingles. The result orders shingles and drops none, so what it misses costs time and no link."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= 3
+        return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sets, held = set(), [], 0
         for block in blocks(batches):
-            sets = {digest(s): s for s in (shingles(h, words) for h in hashes(block.column("text"))) if len(s)}
-            if sets:
-                found, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                often = n >= 3
-                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()
+            for h in hashes(block.column("text")):
+                s = shingles(h, words)
+                if len(s) and (d := digest(s)) not in seen:
+                    seen.add(d)
+                    sets.append(s)
+                    held += len(s)
+            if held >= SPAN:
+                yield counted(sets)
+                seen, sets, held = set(), [], 0
+        if sets:
+            yield counted(sets)
+
+    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def profiles(docs: DataFrame, hot: np.ndarray, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, cls (digest), prefix (the shingles to be dealt by), bits (bitmap of the set)."""
+    """doc_id, n_shingles, cls (digest), prefix (the shingles to be dealt by), bits (bitmap of the set); the last two
+    are null on a class that the task has met before."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        often, seen = shared.value, set()
         for block in blocks(batches):
             n, cls, prefix, bits = [], [], [], []
             for h in hashes(block.column("text")):
                 s = shingles(h, words)
                 n.append(len(s))
                 cls.append(digest(s))
+                if cls[-1] in seen:  # this task has dealt the class already
+                    prefix.append(None)
+                    bits.append(None)
+                    continue
+                seen.add(cls[-1])
                 if len(often) and len(s):
                     at = np.searchsorted(often, s)
                     rare = often[np.minimum(at, len(often) - 1)] != s
@@ -124,7 +147,7 @@ def _tree(rows: pa.Table, mine: np.ndarray, sizes: np.ndarray, groups: np.ndarra
     return signature_tree.Tree(bits, sizes[mine], groups[mine])
 
 
-def block_pairs(rows: pa.Table, num: int, den: int, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def block_pairs(rows: pa.Table, num: int, den: int, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places in rows of the possible pairs of one block: members of the band with each other and with the band below."""
     sizes, own, chunk = (rows.column(c).to_numpy() for c in ("n", "own", "chunk"))
     _, groups = np.unique(np.array(rows.column("component").to_pylist(), object), return_inverse=True)
@@ -140,21 +163,18 @@ def block_pairs(rows: pa.Table, num: int, den: int, first_only: bool) -> tuple[n
                 trees[key] = (mine, _tree(rows, mine, sizes, groups, words) if len(mine) else None)
         (at_a, a), (at_b, b) = trees[own_a, chunk_a], trees[own_b, chunk_b]
         if a and b:
-            i, j = signature_tree.traverse(a, b, num, den, a is b, first_only)
+            i, j = signature_tree.traverse(a, b, num, den, best_only)
             found.append((at_a[i], at_b[j]))
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def tree_pairs(members: DataFrame, classes: DataFrame, first_only: bool, num: int, den: int, block: int) -> DataFrame:
+def tree_pairs(members: DataFrame, classes: DataFrame, best_only: bool, num: int, den: int, block: int) -> DataFrame:
     """a, b: classes that the trees leave as possible links. members: token, band, own, cls, n, m (of its block)."""
     k = F.ceil(F.col("m") / block).cast("int")
-    others = F.sequence(F.lit(0), F.col("k") - 1)
-    if first_only:  # each chunk with itself and with the first
-        others = F.when(F.col("chunk") == 0, others).otherwise(F.array(F.lit(0), F.col("chunk")))
     dealt = (
         members.withColumn("k", k)
         .withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
-        .withColumn("other", F.explode(others))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     )
     keys = ["token", "band", "low", "high"]
@@ -163,7 +183,7 @@ def tree_pairs(members: DataFrame, classes: DataFrame, first_only: bool, num: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for rows in runs(batches, keys):
-            i, j = block_pairs(rows, num, den, first_only)
+            i, j = block_pairs(rows, num, den, best_only)
             if len(i):
                 names = rows.column("cls").combine_chunks()
                 a.append(names.take(pa.array(i)))
@@ -193,15 +213,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     """doc_id, n_shingles, component_id (least doc_id reachable by links) for each row of docs."""
     held = written(profiles(docs, hot_shingles(docs, words), words, num, den))
     named = held.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = written(named.dropDuplicates(["cls"]).select("cls", "doc_id", F.col("n_shingles").alias("n"), "prefix", "bits"))
     key = F.xxhash64("cls")
-
-    postings = classes.select(F.explode("prefix").alias("token"), key.alias("key"))
+    postings = named.select(F.explode("prefix").alias("token"), key.alias("key"))
     shared = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    dealt = written(postings.join(shared, "token").distinct())
+    classes = written(
+        named.where("bits is not null").join(dealt.select("key").distinct().withColumnRenamed("key", "k"), key == F.col("k"), "left_semi")
+        .select("cls", key.alias("key"), "doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["cls"])
+    )
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
     members = written(
-        postings.join(shared, "token")
-        .join(classes.select("cls", "n", key.alias("key")), "key")
+        dealt.join(classes.select("cls", "n", "key"), "key")
         .select("token", "cls", "n", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x"))
         .select("token", "cls", "n", "x.band", "x.own")
     )
@@ -209,7 +231,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     chosen = sets.where("m > 1 and owners > 0").groupBy("band", "m", "owners", "who").agg(F.min("token").alias("token")).select("token", "band", "m")
     members = written(members.join(chosen, ["token", "band"]))
 
-    first = written(tree_pairs(members, classes.select("cls", "bits", F.col("cls").alias("component")), True, num, den, block))
+    # a head start only: each class in its largest blocks, which it shares with most others; the second traversal is complete
+    place = F.row_number().over(Window.partitionBy("cls", "own").orderBy(F.desc("m"), "token"))
+    largest = members.withColumn("place", place).where(F.col("place") <= HEAD_START).drop("place")
+    first = written(tree_pairs(largest, classes.select("cls", "bits", F.col("cls").alias("component")), True, num, den, block))
     links = written(linked(first, docs, classes, words, num, den))
     roots = written(components(links))
     told = classes.select("cls", "bits").join(roots.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
