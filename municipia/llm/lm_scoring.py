@@ -1,30 +1,42 @@
 """Cross-entropy difference: how much likelier a text is under a target model than under a background model.
 
-Both models are n-gram models of order four over one fixed alphabet of ``SYMBOLS`` symbols (letters without case, accented
-letters by their kind, digits, marks, blanks), with the same interpolation of all orders. The counts come from every whole
-text: each task counts its n-grams, the counts are added up by a shuffle, and the table of all n-grams has SYMBOLS ** 4
-cells however large the corpus is, which bounds what the driver and each task hold.
+Both models are trigram models over the tokens of a public byte-level tokenizer, so that every script, case and digit counts,
+with the same interpolation of all orders. The counts come from every whole text and grow with the corpus:
 
-A document's loss under a model is its mean negative log-probability a symbol; ``score`` is target loss less background
-loss, so lower is nearer to the target.
+1. Every text is encoded once; spans of about ``SPAN`` tokens, which are whole documents, are written, a row for each.
+2. Each span's n-grams are counted and dealt to buckets by their mixed code; a bucket adds up the counts of its n-grams over
+   all spans. The number of buckets follows the number of tokens, so neither a span nor a bucket outgrows a task.
+3. The sums go back to their spans, in the spans' own order of codes, and meet the documents there.
+
+An n-gram's code is exact (three ids of 16 bits), and so is its mixed code. The driver holds two numbers.
+
+A document's loss under a model is its mean negative log-probability a token, the end of the text being one more token to be
+told; ``score`` is target loss less background loss, so lower is nearer to the target.
 
 Defined results: a null or empty text has n_tokens 0 and null losses; without target documents the target model is that of
-no counts (all symbols alike); repeated rows and null ids are scored row by row; several labels of a document make it a
+no counts (all tokens alike); repeated rows and null ids are scored row by row; several labels of a document make it a
 target if one of them does.
+
+``grams``, ``gram_counts`` and ``log_model`` are the models of four characters over an alphabet of 40 symbols; the query does
+not use them.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from municipia.llm.shared import blocks
+from municipia.llm.shared import blocks, written
+from municipia.llm.token_files import tokenizer, word_table
 
 SYMBOLS, ORDER = 40, 4
 #: Weights of the orders from none (all symbols alike) to four.
@@ -33,6 +45,15 @@ BLANK, DIGIT, ACCENTED, OTHER_LETTER, STOP, MARK, REST = 0, 27, 28, 36, 37, 38,
 #: Letters whose accented forms have a symbol of their own.
 ACCENTS = "aeioucn"
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Weights of the orders of tokens from none (all tokens alike) to three; an order whose context was never met is that below it.
+TOKEN_MIX = (0.01, 0.14, 0.25, 0.6)
+#: A span is closed once it has so many tokens and ends of texts.
+SPAN = 1 << 20
+#: Bits of the least number of buckets, and the tokens of the corpus for each bucket where that makes more of them.
+BUCKET_BITS, BUCKET = 10, 1 << 21
+CODE_BITS = 48
+
 
 @lru_cache(maxsize=1)
 def alphabet() -> np.ndarray:
@@ -104,28 +125,161 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def loss_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score. target: the doc_id of the documents to be like."""
-    ids = target.select("doc_id").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    found = gram_counts(marked).toArrow()
-    counts = np.zeros((2, SYMBOLS**ORDER), np.int64)
-    at = found.column("gram").to_numpy()
-    counts[0, at], counts[1, at] = found.column("n_target").to_numpy(), found.column("n_background").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(np.stack([log_model(counts[0]), log_model(counts[1])]))
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as a compressed block, byte by byte of all of them; ``unpacked`` gives them again."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(block), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+def mixed(codes: np.ndarray) -> np.ndarray:
+    """A bijection of numbers of 48 bits whose high bits depend on all bits."""
+    mask, half = np.uint64((1 << CODE_BITS) - 1), np.uint64(CODE_BITS // 2)
+    h = codes.astype(np.uint64)
+    for factor in (0x9E3779B97F4B, 0xBF58476D1CE5):
+        h = (h * np.uint64(factor)) & mask
+        h ^= h >> half
+    return h.astype(np.int64)
+
+
+def encoded_spans(docs: DataFrame, tokenizer_path: str, span_tokens: int) -> DataFrame:
+    """span, doc_ids, target, lengths, ids (16 bits each, from 1 on, compressed), n_target and n_background (tokens and ends of
+    texts) of docs (doc_id, text, target)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        words, span = word_table(tokenizer_path), TaskContext.get().partitionId() << 32
+        names, targets, ids, held = [], [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            lengths, own = np.array([len(x) // 2 for x in ids]), np.array(targets, bool)
+            told = lengths + (lengths > 0)
+            one = lambda x, kind: pa.array([x], kind)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(names))
+            blob = packed(np.frombuffer(b"".join(ids), "<u2"))
+            row = [one(span, pa.int64()), lists, one(targets, pa.list_(pa.bool_())), one(lengths, pa.list_(pa.int64())), one(blob, pa.binary()), one(int(told[own].sum()), pa.int64()), one(int(told.sum()), pa.int64())]
+            return pa.RecordBatch.from_arrays(row, names=["span", "doc_ids", "target", "lengths", "ids", "n_target", "n_background"])
+
         for block in blocks(batches):
-            codes, lengths = grams(block.column("text").to_pylist())
-            ends = np.cumsum(lengths)
-            losses = []
-            for log_p in models:
-                sums = np.concatenate([[0.0], np.cumsum(-log_p[codes].astype(float))])
-                losses.append((sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1))
-            none = lengths == 0
-            columns = [pa.array(x, pa.float64(), mask=none) for x in (*losses, losses[0] - losses[1])]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(lengths, pa.int64()), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            start, target = 0, block.column("target").to_pylist()
+            for i, x in enumerate(words.encode([t or "" for t in block.column("text").to_pylist()])):
+                if held >= span_tokens:
+                    names.append(block.column("doc_id").slice(start, i - start))
+                    yield closed()
+                    span, names, targets, ids, held, start = span + 1, [], [], [], 0, i
+                targets.append(target[i])
+                ids.append((np.frombuffer(x, "<u4") + 1).astype("<u2").tobytes())
+                held += len(x) // 4 + 1
+            names.append(block.column("doc_id").slice(start))
+        if ids:
+            yield closed()
+
+    return docs.select("doc_id", "text", "target").mapInArrow(run, f"span long, doc_ids array<{kind}>, target array<boolean>, lengths array<long>, ids binary, n_target long, n_background long")
+
+
+def token_grams(ids: np.ndarray, lengths: np.ndarray, edge: int) -> np.ndarray:
+    """The one, two and three tokens that end at each token and at the end of each text, as three rows of codes. Both sides of
+    a text are ``edge``; a text without tokens has no codes. ids: of all texts, one after another."""
+    lengths = lengths[lengths > 0]
+    starts = np.cumsum(lengths + 3) - lengths - 3
+    s = np.full(len(ids) + 3 * len(lengths), edge, np.int64)
+    inside = np.ones(len(s), bool)
+    inside[starts] = inside[starts + 1] = False
+    told = inside.copy()
+    told[starts + lengths + 2] = False
+    s[told] = ids
+    two, three = s.copy(), s.copy()
+    two[1:] += s[:-1] << 16
+    three[1:] = two[1:]
+    three[2:] += s[:-2] << 32
+    return np.stack([s, two, three])[:, inside]
+
+
+def token_counts(spans: DataFrame, edge: int, bits: int) -> DataFrame:
+    """bucket, span, grams (mixed codes, ascending, as steps), n_target, n_background (both of the same order) of every span;
+    background is every document. Ascending buckets hold ascending codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.select(["span", "target", "lengths", "ids"]).to_pylist():
+                lengths = np.array(row["lengths"])
+                codes = mixed(token_grams(unpacked(row["ids"]), lengths, edge))
+                mine = np.repeat(np.array(row["target"], bool), lengths + (lengths > 0))
+                found, n = np.unique(codes, return_counts=True)
+                own, n_own = np.unique(codes[:, mine], return_counts=True)
+                n_target = np.zeros(len(found), np.int64)
+                n_target[np.searchsorted(found, own)] = n_own
+                buckets = found >> (CODE_BITS - bits)
+                cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1), len(found)] if len(found) else [0]
+                parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+                blobs = [pa.array([packed(f(a, b)) for a, b in parts], pa.binary()) for f in (lambda a, b: np.diff(found[a:b], prepend=0), lambda a, b: n_target[a:b], lambda a, b: n[a:b])]  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[cuts[:-1]], pa.int64()), pa.array([row["span"]] * len(parts), pa.int64()), *blobs], names=["bucket", "span", "grams", "n_target", "n_background"])
+
+    return spans.select("span", "target", "lengths", "ids").mapInArrow(run, "bucket long, span long, grams binary, n_target binary, n_background binary")
+
+
+def added_up(counts: DataFrame) -> DataFrame:
+    """bucket, span, n_target, n_background: as ``token_counts``, each n-gram with its counts over all spans."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        grams = [np.cumsum(unpacked(x)) for x in rows.column("grams").to_pylist()]
+        ends = np.cumsum([len(g) for g in grams])
+        _, place = np.unique(np.concatenate(grams), return_inverse=True)
+        sums = []
+        for name in ("n_target", "n_background"):
+            n = np.concatenate([unpacked(x) for x in rows.column(name).to_pylist()])
+            total = np.bincount(place, n).astype(np.int64)[place]
+            sums.append([packed(x) for x in np.split(total, ends[:-1])])
+        return pa.table([rows.column("bucket"), rows.column("span"), *[pa.array(x, pa.binary()) for x in sums]], names=["bucket", "span", "n_target", "n_background"])
+
+    return counts.groupBy("bucket").applyInArrow(run, "bucket long, span long, n_target binary, n_background binary")
+
+
+def token_probabilities(n: np.ndarray, first: np.ndarray, last: np.ndarray, total: int, tokens: int) -> np.ndarray:
+    """Probability of each token, all orders mixed. n: counts of the n-grams of each order that end at it (see ``token_grams``);
+    first, last: places of each text's first code and last, whose count is that of all ends and hence of all starts."""
+    before = np.zeros((2, n.shape[1]), np.int64)
+    before[:, 1:] = n[:2, :-1]
+    before[:, first] = n[0, last]
+    p = np.full(n.shape[1], 1 / tokens)
+    out = TOKEN_MIX[0] * p
+    for weight, share, of in zip(TOKEN_MIX[1:], n, (np.full(n.shape[1], total), *before), strict=True):
+        p = np.where(of > 0, share / np.maximum(of, 1), p)
+        out += weight * p
+    return out
+
+
+def loss_difference(docs: DataFrame, target: DataFrame, tokenizer_path: str = TOKENIZER, span_tokens: int = SPAN) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score. target: the doc_id of the documents to be like."""
+    edge = 1 + max(tokenizer(tokenizer_path).get_vocab(with_added_tokens=True).values()) + 1
+    if edge >= 1 << 16:
+        raise ValueError("the tokenizer's ids do not fit in 16 bits")
+    ids = target.select("doc_id").distinct().withColumn("target", F.lit(True))
+    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    spans = written(encoded_spans(marked, tokenizer_path, span_tokens))
+    names = ["n_target", "n_background"]
+    totals = [n or 0 for n in spans.agg(*[F.sum(c) for c in names]).first()]
+    summed = added_up(token_counts(spans, edge, max(BUCKET_BITS, (totals[1] // BUCKET).bit_length())))
+
+    def run(held: pa.Table, known: pa.Table) -> pa.Table:
+        row = held.select(["lengths", "ids"]).to_pylist()[0]
+        lengths = np.array(row["lengths"])
+        told = lengths + (lengths > 0)
+        ends = np.cumsum(told)
+        codes = token_grams(unpacked(row["ids"]), lengths, edge)
+        place = np.unique(mixed(codes), return_inverse=True)[1].reshape(codes.shape)
+        known = known.sort_by("bucket")
+        losses = []
+        for name, total in zip(names, totals, strict=True):
+            n = np.concatenate([np.zeros(0, np.int64), *map(unpacked, known.column(name).to_pylist())])[place]
+            p = token_probabilities(n, (ends - told)[told > 0], ends[told > 0] - 1, total, edge)
+            sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
+            losses.append((sums[ends] - sums[ends - told]) / np.maximum(told, 1))
+        columns = [pa.array(x, pa.float64(), mask=lengths == 0) for x in (*losses, losses[0] - losses[1])]
+        return pa.table([held.column("doc_ids").combine_chunks().flatten(), pa.array(lengths), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    together = spans.select("span", "doc_ids", "lengths", "ids").groupBy("span").cogroup(summed.groupBy("span"))
+    return together.applyInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
