@@ -80,18 +80,18 @@ def hot_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT_SHINGLES)
 
 def profiles(docs: DataFrame, hot: np.ndarray, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, cls (digest), prefix (the shingles to be dealt by), bits (bitmap of the set); the last two
-    are null on a class that the task has met before."""
+    are null on a row without an id, and on a class that the task has met before on a row with one."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = shared.value, set()
         for block in blocks(batches):
             n, cls, prefix, bits = [], [], [], []
-            for h in hashes(block.column("text")):
+            for h, named in zip(hashes(block.column("text")), block.column("doc_id").is_valid().to_pylist(), strict=True):
                 s = shingles(h, words)
                 n.append(len(s))
                 cls.append(digest(s))
-                if cls[-1] in seen:  # this task has dealt the class already
+                if not named or cls[-1] in seen:  # links nothing, or this task has dealt the class already
                     prefix.append(None)
                     bits.append(None)
                     continue
