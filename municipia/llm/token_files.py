@@ -117,9 +117,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
 
-    found = tokenizers.Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return tokenizers.Tokenizer.from_file(path)
 
 
 def _open(c: str) -> bool:
@@ -133,7 +131,7 @@ class WordTable:
     A pre-token never reaches over a blank, or a line feed, that has other characters than white space on both sides, nor
     over one mark between a letter and such a place. So a word's ids are those of its lines, and a line's are those of its
     stem and its last mark; stems are encoded many at a time, parted again where an id starts with a blank or line feed.
-    A text with a word that is empty or has white space at an end is encoded whole.
+    A text with a word that is empty or has white space at an end is encoded whole, and so is one that holds an added token.
     """
 
     MARKS = frozenset(".,;:!?")
@@ -141,6 +139,7 @@ class WordTable:
     def __init__(self, path: str, size: int = TABLE_SIZE):
         self.tokenizer, self.size = tokenizer(path), size
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
         self.rows: dict[str, bytes] = {}
@@ -191,7 +190,7 @@ class WordTable:
             new = set(chain.from_iterable(islice(parts, 1, None) for parts in cut))
         self._learn(new - self.unclean)
         odd = self.unclean & new
-        whole = [i for i, parts in enumerate(cut) if texts[i] and (not parts[0] or _open(parts[0][-1]) or (odd and not odd.isdisjoint(parts[1:])))]
+        whole = [i for i, parts in enumerate(cut) if texts[i] and (not parts[0] or _open(parts[0][-1]) or (odd and not odd.isdisjoint(parts[1:])) or any(a in texts[i] for a in self.added))]
         out = [b""] * len(texts)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
