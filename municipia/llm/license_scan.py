@@ -64,12 +64,12 @@ def template_table(spark: SparkSession, templates: dict[str, str], num: int, den
     return rows.select("template", "size", least.alias("least"), most.alias("most"), F.explode("g").alias("bigram"))
 
 
-def parts(docs: DataFrame, longest: Column) -> DataFrame:
-    """row, doc_id, part (its place), g (bigrams), n: lines, and paragraphs of several lines, of up to longest bigrams."""
+def parts(docs: DataFrame) -> DataFrame:
+    """row, doc_id, part (its place), g (bigrams), n: lines, and paragraphs of several lines, of any length."""
     lines = F.split("text", "\n")
-    blocks = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: p.contains("\n") & (F.length(p) < 20 * longest))
+    blocks = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: p.contains("\n"))
     held = docs.where("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.concat(lines, blocks)).alias("part", "piece"))
-    held = held.where(F.length("piece") < 20 * longest).withColumn("words", normalised_words(F.col("piece")))
+    held = held.withColumn("words", normalised_words(F.col("piece")))
     return held.where(F.size("words") > 1).select("row", "doc_id", "part", bigrams(F.col("words")).alias("g")).withColumn("n", F.size("g"))
 
 
@@ -78,7 +78,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, nu
     spark = docs.sparkSession
     known = template_table(spark, templates or TEMPLATES, num, den)
     bounds = known.agg(F.min("least").alias("x"), F.max("most").alias("y")).first()
-    held = parts(docs, F.lit(bounds["y"])).where(F.col("n").between(bounds["x"], bounds["y"]))
+    held = parts(docs).where(F.col("n").between(bounds["x"], bounds["y"]))
     met = held.select("row", "doc_id", "part", "n", F.explode("g").alias("bigram")).join(F.broadcast(known), "bigram").where(F.col("n").between(F.col("least"), F.col("most")))
     found = met.groupBy("row", "doc_id", "part", "n", "template", "size").agg(F.count("*").alias("common"))
     return found.where(2 * den * F.col("common") >= num * (F.col("n") + F.col("size"))).select("row", "doc_id", "part", "template", "common", (2 * F.col("common") / (F.col("n") + F.col("size"))).alias("dice"))
