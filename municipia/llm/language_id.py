@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from municipia.llm.sentencepiece_codec import MARK, processor
-from municipia.llm.shared import blocks
+from municipia.llm.shared import blocks, kept
 
 #: The bound of the training sample: documents expected of each language.
 SAMPLE_DOCS = 1500
+#: The bound of the languages learnt: those with the most documents.
+MOST_LANGS = 400
 #: A run of more letters is cut into parts of so many, each scored in turn.
 PART = 24
 ROUNDS, FLOOR, SHARED = 4, 1e-9, 0.02
-TABLE_SIZE = 300_000
+#: Distinct words that a task keeps; beyond it the table is begun anew, which changes no result.
+TABLE_SIZE = 200_000
 UNKNOWN = "und"
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -105,13 +109,24 @@ class Pieces:
             yield e, [(first + k, found[k]) for k in reversed(range(len(running)))]
 
 
-@dataclass
+@lru_cache(maxsize=1)
+def pieces_of(vocabulary: str) -> Pieces:
+    return Pieces(vocabulary)
+
+
+@dataclass(eq=False)
 class Model:
     langs: list[str]
     #: piece x language; the row behind the last piece holds the probability of a character that no piece has.
     p: np.ndarray
     vocabulary: str
 
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Model) and (self.langs, self.vocabulary) == (other.langs, other.vocabulary) and np.array_equal(self.p, other.p)
+
+    def __hash__(self) -> int:
+        return hash((self.vocabulary, *self.langs))
+
 
 def forward(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
     """Log-probability of each marked word, summed over its segmentations, for each column of p."""
@@ -160,7 +175,7 @@ def expected(pieces: Pieces, p: np.ndarray, words: list[str], counts: np.ndarray
 
 def fit_counts(counts: dict[str, Counter], vocabulary: str, rounds: int = ROUNDS) -> Model:
     """The model from word counts by language."""
-    pieces = Pieces(vocabulary)
+    pieces = pieces_of(vocabulary)
     langs = sorted(counts)
     n = len(pieces.strings) + 1
     p = np.full((n, max(1, len(langs))), FLOOR)
@@ -180,19 +195,22 @@ class WordScores:
     """Of each distinct word, its log-probability by language; begun anew beyond ``size`` words."""
 
     def __init__(self, model: Model, size: int = TABLE_SIZE):
-        self.model, self.size, self.pieces = model, size, Pieces(model.vocabulary)
+        self.model, self.size, self.pieces = model, size, pieces_of(model.vocabulary)
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, len(model.langs)))
+        self.rows = np.zeros((min(size, 1024), len(model.langs)))
 
     def score(self, texts: list[list[str]]) -> np.ndarray:
         """Log-probability of each text by language."""
         new = list({w for words in texts for w in words} - self.place.keys())
         if len(self.place) + len(new) > self.size:
-            self.place, self.rows = {}, self.rows[:0]
+            self.place.clear()
             new = list({w for words in texts for w in words})
-        if new:
-            self.place |= {w: len(self.rows) + i for i, w in enumerate(new)}
-            self.rows = np.concatenate([self.rows, *(forward(self.pieces, self.model.p, new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
+        first = len(self.place)
+        self.place |= {w: first + i for i, w in enumerate(new)}
+        if len(self.place) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(self.place) - len(self.rows)), self.rows.shape[1]), self.rows.dtype)])
+        for i in range(0, len(new), 10_000):
+            self.rows[first + i : first + i + len(new[i : i + 10_000])] = forward(self.pieces, self.model.p, new[i : i + 10_000])
         total = np.zeros((len(texts), len(self.model.langs)))
         for i, words in enumerate(texts):
             if words:
@@ -206,10 +224,11 @@ class WordScores:
 def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> Model:
     """From the text and non-null lang of labelled (doc_id, text, lang); only a sample's word counts reach the driver."""
     rows = labelled.where(F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, sample_docs / n)).otherwise(share)
+    rows = rows.where(F.col("lang").isin(list(sizes)))
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20)) < share * (1 << 20)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,24 +247,35 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) ->
     return fit_counts(counts, vocabulary)
 
 
+def word_scores(model: Model) -> WordScores:
+    """One table for all tasks of a worker that score by the same model."""
+    return kept(WordScores, model)
+
+
+def told(scores: WordScores, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """lang_pred and score (posterior of lang_pred, all languages alike before) of each text, from it alone."""
+    langs = np.array([*scores.model.langs, UNKNOWN], object)
+    words = [marked_parts(t) for t in texts]
+    some = np.array([bool(w) for w in words], bool) & bool(scores.model.langs)
+    best, score = np.full(len(words), len(langs) - 1), np.zeros(len(words))
+    if some.any():
+        total = scores.score(words)
+        best = np.where(some, total.argmax(axis=1), best)
+        score = np.where(some, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+    return langs[best], score
+
+
 def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
-    """The columns in keep, lang_pred and score (posterior of lang_pred, all languages alike before); from text alone."""
+    """The columns in keep, lang_pred and score, of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = docs.select(*keep, F.col("text").alias("__text"))
     names = [c for c in held.columns if c != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value)
-        langs = np.array([*shared.value.langs, UNKNOWN], object)
+        scores = word_scores(shared.value)
         for block in blocks(batches, "__text", 1_000_000):
-            texts = [marked_parts(t) for t in block.column("__text").to_pylist()]
-            some = np.array([bool(t) for t in texts]) & bool(shared.value.langs)
-            best, score = np.full(len(texts), len(langs) - 1), np.zeros(len(texts))
-            if some.any():
-                total = scores.score(texts)
-                best = np.where(some, total.argmax(axis=1), best)
-                score = np.where(some, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(langs[best], pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            lang, score = told(scores, block.column("__text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     schema = held.select(*names).schema
     for name, kind in (("lang_pred", "string"), ("score", "double")):
@@ -258,10 +288,17 @@ def remainder(docs: DataFrame, k: int) -> Column:
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose language is told with a score of least or more; learnt from docs' own lang."""
-    model = fit(docs.where(remainder(docs, 3) != 1), vocabulary)
-    told = predict(docs, model, F.struct("*").alias("doc"))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
+    """The rows of docs, all columns, whose language is told with a score of least or more; learnt from docs' own lang.
+    Rows pass through a task once, a block of texts at a time, and only those that stay go back."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(remainder(docs, 3) != 1), vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = word_scores(shared.value)
+        for block in blocks(batches, "text", 1_000_000):
+            lang, score = told(scores, block.column("text").to_pylist())
+            yield block.filter(pa.array((lang != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def language_report(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -4,11 +4,12 @@ Both models are trigram models over the tokens of a public byte-level tokenizer,
 with the same interpolation of all orders. The counts come from every whole text and grow with the corpus:
 
 1. Every text is encoded once; spans of about ``SPAN`` tokens, which are whole documents, are written, a row for each.
-2. Each span's n-grams are counted and dealt to buckets by their mixed code; a bucket adds up the counts of its n-grams over
+2. Each span's n-grams are counted and dealt to buckets by their context; a bucket adds up the counts of its n-grams over
    all spans. The number of buckets follows the number of tokens, so neither a span nor a bucket outgrows a task.
 3. The sums go back to their spans, in the spans' own order of codes, and meet the documents there.
 
-An n-gram's code is exact (three ids of 16 bits), and so is its mixed code. The driver holds two numbers.
+An n-gram's code is exact: a bijection of its first two ids of 16 bits each, then the third. So the n-grams of one context
+stand together in one bucket, and are sent as the context and the list of tokens that follow it. The driver holds two numbers.
 
 A document's loss under a model is its mean negative log-probability a token, the end of the text being one more token to be
 told; ``score`` is target loss less background loss, so lower is nearer to the target.
@@ -24,7 +25,6 @@ not use them.
 from __future__ import annotations
 
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from municipia.llm.shared import blocks, written
-from municipia.llm.token_files import tokenizer, word_table
+from municipia.llm.token_files import ENCODED_BYTES, tokenizer, word_table
 
 SYMBOLS, ORDER = 40, 4
 #: Weights of the orders from none (all symbols alike) to four.
@@ -51,8 +51,8 @@ TOKEN_MIX = (0.01, 0.14, 0.25, 0.6)
 #: A span is closed once it has so many tokens and ends of texts.
 SPAN = 1 << 20
 #: Bits of the least number of buckets, and the tokens of the corpus for each bucket where that makes more of them.
-BUCKET_BITS, BUCKET = 10, 1 << 21
-CODE_BITS = 48
+BUCKET_BITS, BUCKET = 8, 1 << 22
+TOKEN_BITS, PAIR_BITS = 16, 32
 
 
 @lru_cache(maxsize=1)
@@ -125,20 +125,35 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers as a compressed block, byte by byte of all of them; ``unpacked`` gives them again."""
-    return zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpacked(block: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(block), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers as one compressed block, byte by byte of all numbers of an array; ``unpacked`` gives them again."""
+    heads, planes = [], []
+    for values in arrays:
+        width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+        heads += [len(values), width]
+        planes.append(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).ravel())
+    body = np.concatenate(planes)
+    return np.array([len(arrays), len(body), *heads], "<u4").tobytes() + pa.Codec("zstd", 1).compress(body.tobytes(), asbytes=True)
+
+
+def unpacked(block: bytes) -> list[np.ndarray]:
+    count, size = np.frombuffer(block, "<u4", 2).tolist()
+    heads = np.frombuffer(block, "<u4", 2 * count, 8).tolist()
+    body = np.frombuffer(pa.Codec("zstd").decompress(block[8 + 8 * count :], size, asbytes=True), np.uint8)
+    out, at = [], 0
+    for n, width in zip(heads[::2], heads[1::2], strict=True):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = body[at : at + n * width].reshape(width, n).T
+        out.append(wide.view("<u8").ravel().astype(np.int64))
+        at += n * width
+    return out
 
 
-def mixed(codes: np.ndarray) -> np.ndarray:
-    """A bijection of numbers of 48 bits whose high bits depend on all bits."""
-    mask, half = np.uint64((1 << CODE_BITS) - 1), np.uint64(CODE_BITS // 2)
-    h = codes.astype(np.uint64)
-    for factor in (0x9E3779B97F4B, 0xBF58476D1CE5):
+def mixed(pairs: np.ndarray) -> np.ndarray:
+    """A bijection of numbers of 32 bits whose high bits depend on all bits."""
+    mask, half = np.uint64((1 << PAIR_BITS) - 1), np.uint64(PAIR_BITS // 2)
+    h = pairs.astype(np.uint64)
+    for factor in (0x9E3779B1, 0x85EBCA77):
         h = (h * np.uint64(factor)) & mask
         h ^= h >> half
     return h.astype(np.int64)
@@ -151,37 +166,40 @@ def encoded_spans(docs: DataFrame, tokenizer_path: str, span_tokens: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, span = word_table(tokenizer_path), TaskContext.get().partitionId() << 32
-        names, targets, ids, held = [], [], [], 0
+        docs_held, ids, held = [], [], 0
 
         def closed() -> pa.RecordBatch:
-            lengths, own = np.array([len(x) // 2 for x in ids]), np.array(targets, bool)
-            told = lengths + (lengths > 0)
-            one = lambda x, kind: pa.array([x], kind)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(names))
-            blob = packed(np.frombuffer(b"".join(ids), "<u2"))
-            row = [one(span, pa.int64()), lists, one(targets, pa.list_(pa.bool_())), one(lengths, pa.list_(pa.int64())), one(blob, pa.binary()), one(int(told[own].sum()), pa.int64()), one(int(told.sum()), pa.int64())]
+            names, targets, lengths = (pa.concat_arrays(x) for x in zip(*docs_held, strict=True))
+            n, own = lengths.to_numpy(), targets.to_numpy(zero_copy_only=False).astype(bool)
+            told = n + (n > 0)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), x) for x in (names, targets, lengths)]
+            numbers = [pa.array([x], pa.int64()) for x in (int(told[own].sum()), int(told.sum()))]
+            row = [pa.array([span], pa.int64()), *lists, pa.array([packed(np.concatenate(ids))], pa.binary()), *numbers]
             return pa.RecordBatch.from_arrays(row, names=["span", "doc_ids", "target", "lengths", "ids", "n_target", "n_background"])
 
-        for block in blocks(batches):
-            start, target = 0, block.column("target").to_pylist()
-            for i, x in enumerate(words.encode([t or "" for t in block.column("text").to_pylist()])):
+        for block in blocks(batches, limit=ENCODED_BYTES):
+            found, lengths = words.encode_column(block.column("text"))
+            found, ends, start = (found + 1).astype(np.uint16), np.cumsum(lengths), 0
+            closing = np.cumsum(lengths + 1)
+            while start < len(lengths):  # whole documents until the span has its tokens
+                passed = int(closing[start - 1]) if start else 0
+                upto = min(len(lengths), 1 + int(np.searchsorted(closing, span_tokens - held + passed)))
+                docs_held.append((block.column("doc_id").slice(start, upto - start), block.column("target").slice(start, upto - start), pa.array(lengths[start:upto])))
+                ids.append(found[(ends[start - 1] if start else 0) : ends[upto - 1]])
+                held, start = held + int(closing[upto - 1]) - passed, upto
                 if held >= span_tokens:
-                    names.append(block.column("doc_id").slice(start, i - start))
                     yield closed()
-                    span, names, targets, ids, held, start = span + 1, [], [], [], 0, i
-                targets.append(target[i])
-                ids.append((np.frombuffer(x, "<u4") + 1).astype("<u2").tobytes())
-                held += len(x) // 4 + 1
-            names.append(block.column("doc_id").slice(start))
-        if ids:
+                    span, docs_held, ids, held = span + 1, [], [], 0
+        if docs_held:
             yield closed()
 
     return docs.select("doc_id", "text", "target").mapInArrow(run, f"span long, doc_ids array<{kind}>, target array<boolean>, lengths array<long>, ids binary, n_target long, n_background long")
 
 
-def token_grams(ids: np.ndarray, lengths: np.ndarray, edge: int) -> np.ndarray:
-    """The one, two and three tokens that end at each token and at the end of each text, as three rows of codes. Both sides of
-    a text are ``edge``; a text without tokens has no codes. ids: of all texts, one after another."""
+def token_grams(ids: np.ndarray, lengths: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the one token and of the two (rows of the first), and of the three (the second) that end at each token and at
+    the end of each text. Both sides of a text are ``edge``; a text without tokens has no codes. ids: of all texts, one after
+    another. A code of three is that of its first two, and then the last token."""
     lengths = lengths[lengths > 0]
     starts = np.cumsum(lengths + 3) - lengths - 3
     s = np.full(len(ids) + 3 * len(lengths), edge, np.int64)
@@ -190,51 +208,78 @@ def token_grams(ids: np.ndarray, lengths: np.ndarray, edge: int) -> np.ndarray:
     told = inside.copy()
     told[starts + lengths + 2] = False
     s[told] = ids
-    two, three = s.copy(), s.copy()
-    two[1:] += s[:-1] << 16
-    three[1:] = two[1:]
-    three[2:] += s[:-2] << 32
-    return np.stack([s, two, three])[:, inside]
+    two = np.zeros(len(s), np.int64)
+    two[1:] = mixed((s[:-1] << TOKEN_BITS) + s[1:])
+    three = np.zeros(len(s), np.int64)
+    three[1:] = (two[:-1] << TOKEN_BITS) + s[1:]
+    return np.stack([mixed(s), two])[:, inside], three[inside]
+
+
+def counted(codes: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, how often each occurs where ``mine`` holds, and how often in all."""
+    found, n = np.unique(codes, return_counts=True)
+    own, n_own = np.unique(codes[mine], return_counts=True)
+    n_target = np.zeros(len(found), np.int64)
+    n_target[np.searchsorted(found, own)] = n_own
+    return found, n_target, n
+
+
+def first_codes(lengths: np.ndarray) -> np.ndarray:
+    """Place of each text's first code."""
+    told = lengths[lengths > 0] + 1
+    return np.cumsum(told) - told
+
+
+def listed_pairs(codes: np.ndarray, three: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """All codes of one and two tokens, and for each text that of the two edges before it, which no token ends."""
+    return np.concatenate([codes.ravel(), three[first] >> TOKEN_BITS])
 
 
 def token_counts(spans: DataFrame, edge: int, bits: int) -> DataFrame:
-    """bucket, span, grams (mixed codes, ascending, as steps), n_target, n_background (both of the same order) of every span;
-    background is every document. Ascending buckets hold ascending codes."""
+    """bucket, span, grams, n of every span. grams: the codes of one and two tokens, ascending, as steps; to each the number of
+    codes of three that start with it; the last tokens of those. n: counts of the first in the target and in all, counts of
+    the latter likewise. Ascending buckets hold ascending codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.select(["span", "target", "lengths", "ids"]).to_pylist():
                 lengths = np.array(row["lengths"])
-                codes = mixed(token_grams(unpacked(row["ids"]), lengths, edge))
+                codes, three = token_grams(unpacked(row["ids"])[0], lengths, edge)
                 mine = np.repeat(np.array(row["target"], bool), lengths + (lengths > 0))
-                found, n = np.unique(codes, return_counts=True)
-                own, n_own = np.unique(codes[:, mine], return_counts=True)
-                n_target = np.zeros(len(found), np.int64)
-                n_target[np.searchsorted(found, own)] = n_own
-                buckets = found >> (CODE_BITS - bits)
-                cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1), len(found)] if len(found) else [0]
-                parts = list(zip(cuts[:-1], cuts[1:], strict=True))
-                blobs = [pa.array([packed(f(a, b)) for a, b in parts], pa.binary()) for f in (lambda a, b: np.diff(found[a:b], prepend=0), lambda a, b: n_target[a:b], lambda a, b: n[a:b])]  # noqa: B023
-                yield pa.RecordBatch.from_arrays([pa.array(buckets[cuts[:-1]], pa.int64()), pa.array([row["span"]] * len(parts), pa.int64()), *blobs], names=["bucket", "span", "grams", "n_target", "n_background"])
-
-    return spans.select("span", "target", "lengths", "ids").mapInArrow(run, "bucket long, span long, grams binary, n_target binary, n_background binary")
+                first = first_codes(lengths)
+                pairs, *of_pairs = counted(listed_pairs(codes, three, first), np.concatenate([mine, mine, mine[first]]))
+                threes, *of_threes = counted(three, mine)
+                heads = np.searchsorted(threes, np.append(pairs, 1 << PAIR_BITS) << TOKEN_BITS)
+                buckets = pairs >> (PAIR_BITS - bits)
+                cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(pairs)] if len(pairs) else [0]
+                grams, n = [], []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    x, y = heads[a], heads[b]
+                    grams.append(packed(np.diff(pairs[a:b], prepend=0), np.diff(heads[a : b + 1]), threes[x:y] & ((1 << TOKEN_BITS) - 1)))
+                    n.append(packed(*(c[a:b] for c in of_pairs), *(c[x:y] for c in of_threes)))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[cuts[:-1]], pa.int64()), pa.array([row["span"]] * len(grams), pa.int64()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], names=["bucket", "span", "grams", "n"])
+
+    return spans.select("span", "target", "lengths", "ids").mapInArrow(run, "bucket long, span long, grams binary, n binary")
 
 
 def added_up(counts: DataFrame) -> DataFrame:
-    """bucket, span, n_target, n_background: as ``token_counts``, each n-gram with its counts over all spans."""
+    """bucket, span, n: as ``token_counts``, each n-gram with its counts over all spans. A bucket has one row of each span."""
+
+    def sums(codes: list[np.ndarray], counts: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        _, place = np.unique(np.concatenate(codes), return_inverse=True)
+        ends = np.cumsum([len(c) for c in codes])[:-1]
+        return [np.split(np.bincount(place, np.concatenate(n)).astype(np.int64)[place], ends) for n in counts]
 
     def run(rows: pa.Table) -> pa.Table:
-        grams = [np.cumsum(unpacked(x)) for x in rows.column("grams").to_pylist()]
-        ends = np.cumsum([len(g) for g in grams])
-        _, place = np.unique(np.concatenate(grams), return_inverse=True)
-        sums = []
-        for name in ("n_target", "n_background"):
-            n = np.concatenate([unpacked(x) for x in rows.column(name).to_pylist()])
-            total = np.bincount(place, n).astype(np.int64)[place]
-            sums.append([packed(x) for x in np.split(total, ends[:-1])])
-        return pa.table([rows.column("bucket"), rows.column("span"), *[pa.array(x, pa.binary()) for x in sums]], names=["bucket", "span", "n_target", "n_background"])
+        pairs, threes = [], []
+        for steps, follow, last in map(unpacked, rows.column("grams").to_pylist()):
+            pairs.append(np.cumsum(steps))
+            threes.append((np.repeat(pairs[-1], follow) << TOKEN_BITS) + last)
+        n = list(zip(*map(unpacked, rows.column("n").to_pylist()), strict=True))
+        together = [*sums(pairs, n[:2]), *sums(threes, n[2:])]
+        return pa.table([rows.column("bucket"), rows.column("span"), pa.array([packed(*x) for x in zip(*together, strict=True)], pa.binary())], names=["bucket", "span", "n"])
 
-    return counts.groupBy("bucket").applyInArrow(run, "bucket long, span long, n_target binary, n_background binary")
+    return counts.groupBy("bucket").applyInArrow(run, "bucket long, span long, n binary")
 
 
 def token_probabilities(n: np.ndarray, first: np.ndarray, last: np.ndarray, total: int, tokens: int) -> np.ndarray:
@@ -262,19 +307,23 @@ def loss_difference(docs: DataFrame, target: DataFrame, tokenizer_path: str = TO
     names = ["n_target", "n_background"]
     totals = [n or 0 for n in spans.agg(*[F.sum(c) for c in names]).first()]
     summed = added_up(token_counts(spans, edge, max(BUCKET_BITS, (totals[1] // BUCKET).bit_length())))
+    none = np.zeros(0, np.int64)
 
     def run(held: pa.Table, known: pa.Table) -> pa.Table:
         row = held.select(["lengths", "ids"]).to_pylist()[0]
         lengths = np.array(row["lengths"])
         told = lengths + (lengths > 0)
         ends = np.cumsum(told)
-        codes = token_grams(unpacked(row["ids"]), lengths, edge)
-        place = np.unique(mixed(codes), return_inverse=True)[1].reshape(codes.shape)
-        known = known.sort_by("bucket")
+        codes, three = token_grams(unpacked(row["ids"])[0], lengths, edge)
+        first = first_codes(lengths)
+        pairs = np.unique(listed_pairs(codes, three, first))
+        place, place_of_three = np.searchsorted(pairs, codes), np.unique(three, return_inverse=True)[1]
+        parts = [unpacked(x) for x in known.sort_by("bucket").column("n").to_pylist()]
         losses = []
-        for name, total in zip(names, totals, strict=True):
-            n = np.concatenate([np.zeros(0, np.int64), *map(unpacked, known.column(name).to_pylist())])[place]
-            p = token_probabilities(n, (ends - told)[told > 0], ends[told > 0] - 1, total, edge)
+        for k, total in enumerate(totals):
+            of_pairs, of_threes = (np.concatenate([none, *(x[k + at] for x in parts)]) for at in (0, 2))
+            n = np.concatenate([of_pairs[place], of_threes[place_of_three][None]])
+            p = token_probabilities(n, first, ends[told > 0] - 1, total, edge)
             sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
             losses.append((sums[ends] - sums[ends - told]) / np.maximum(told, 1))
         columns = [pa.array(x, pa.float64(), mask=lengths == 0) for x in (*losses, losses[0] - losses[1])]

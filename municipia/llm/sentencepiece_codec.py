@@ -19,11 +19,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from municipia.llm.shared import blocks
+from municipia.llm.shared import blocks, kept
 
 MARK = "▁"
 #: Distinct chunks that a worker keeps; beyond it the table is begun anew, which changes no result.
-TABLE_SIZE = 800_000
+TABLE_SIZE = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -87,10 +87,9 @@ class ChunkTable:
         return sum(n), ",".join(ids), " ".join(decoded)
 
 
-@lru_cache(maxsize=1)
 def chunk_table(model: str) -> ChunkTable:
     """One table for all tasks of a worker: what a chunk's ids are depends on nothing else."""
-    return ChunkTable(model)
+    return kept(ChunkTable, model)
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,11 @@
-"""Tables written to the shared checkpoint folder, and Arrow batches cut to a bounded size."""
+"""Tables written to the shared checkpoint folder, Arrow batches cut to a bounded size, and what a worker keeps."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,25 +16,51 @@ BLOCK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one if all runs in this process, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="municipia-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later steps read files, not the lineage."""
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, or in a folder of ``Scratch``: later steps read files, not the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    path = f"{folder or shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one query that go once their readers have been written themselves."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        return written(df, self.folder)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_kept: dict[tuple, Any] = {}
+
+
+def kept(make: Callable[..., Any], *args: Any) -> Any:
+    """make(*args), kept by this worker for later tasks until it is asked for something else: one table at a time."""
+    if (make, *args) not in _kept:
+        _kept.clear()
+        _kept[make, *args] = make(*args)
+    return _kept[make, *args]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,32 +8,35 @@ is read alone. Segments are rows of a Parquet table, which gives tasks that are
 Payload, little-endian: 'PFB1', uint32 ids, uint32 blocks, uint32 starts[blocks + 1] from the first body byte, then the
 bodies: uint32 minimum, uint8 width, uint16 exceptions, packed bits, uint16 places[], uint32 differences[].
 
-Defined results: a null or empty text has the end id alone; null ids come first; rows of one id follow each other in order
-of their text; an empty table gives an empty file.
+Defined results: a null or empty text has the end id alone; null ids come first; rows of one id, or of none, follow each other in order of a hash
+of their text, so that many of them are parted between tasks; an empty table gives an empty file.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from municipia.llm.shared import blocks, shared_dir
+from municipia.llm.shared import blocks, kept, shared_dir
 
 MAGIC, HEAD = b"PFB1", 12
 BLOCK_IDS, PERCENTILE = 256, 90
 #: A segment is closed once it has so many ids; it always holds whole documents.
 SEGMENT_IDS = 1 << 18
 #: Distinct words that a worker keeps; beyond it the table is begun anew, which changes no result.
-TABLE_SIZE = 1_000_000
+TABLE_SIZE = 600_000
+#: Bytes of text that are encoded together.
+ENCODED_BYTES = 6_000_000
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -125,16 +128,23 @@ def _open(c: str) -> bool:
     return c.isspace() or c in "\u180e\u200b\ufeff"
 
 
+#: A word without white space.
+PLAIN = re.compile(r"[^\s\u180e\u200b\ufeff]+")
+#: A pre-token ends before one of these behind a letter, if nothing but white space comes after.
+MARKS = frozenset(".,;:!?")
+
+
 class WordTable:
-    """The ids, as bytes, of each distinct word behind a blank.
+    """The ids of each distinct word behind a blank, one after another in one array.
 
     A pre-token never reaches over a blank, or a line feed, that has other characters than white space on both sides, nor
     over one mark between a letter and such a place. So a word's ids are those of its lines, and a line's are those of its
     stem and its last mark; stems are encoded many at a time, parted again where an id starts with a blank or line feed.
     A text with a word that is empty or has white space at an end is encoded whole, and so is one that holds an added token.
+    A block of texts is cut, and its words numbered, by Arrow; Python meets each distinct word of a block once.
     """
 
-    MARKS = frozenset(".,;:!?")
+    UNCLEAN = -1
 
     def __init__(self, path: str, size: int = TABLE_SIZE):
         self.tokenizer, self.size = tokenizer(path), size
@@ -142,68 +152,114 @@ class WordTable:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
-        self.rows: dict[str, bytes] = {}
-        self.unclean: set[str] = set()
-        self.mark_ids = {m: self._whole([m])[0] for m in self.MARKS}
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Each word's row; a row's ids are ids[starts[row] : starts[row + 1]].
+        self.rows: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> list[bytes]:
-        """As _whole, for words that each start with a blank or a line feed."""
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number by word, for words that each start with a blank or a line feed."""
         groups = [words[i : i + 500] for i in range(0, len(words), 500)]
-        out: list[bytes] = []
+        ids, counts = [], []
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            at = np.flatnonzero(self.opens[ids]) * 4
-            if len(at) != len(group):
-                out += self._whole(group)
-                continue
-            raw, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
-            out += [raw[a:b] for a, b in zip(at.tolist(), ends, strict=True)]
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        lines: dict[str, list[tuple[str, bytes]]] = {}
-        stems: dict[str, bytes] = {}
+            mine = np.array(found.ids, "<u4")
+            at = np.flatnonzero(self.opens[mine])
+            if len(at) == len(group):
+                ids.append(mine)
+                counts.append(np.diff(at, append=len(mine)))
+            else:
+                alone = self._whole(group)
+                ids += alone
+                counts.append(np.array([len(x) for x in alone], np.int64))
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows for words that have none."""
+        stems = {m: i for i, m in enumerate(sorted(MARKS))}
+        row, pieces, sizes, plain = len(self.starts) - 1, [], [], PLAIN.fullmatch
         for word in words:
-            parts = word.split("\n")
-            if any(not p or _open(p[0]) or _open(p[-1]) for p in parts):
-                self.unclean.add(word)
+            clean = plain(word)
+            lines = (word,) if clean else word.split("\n")
+            if not clean and any(not x or _open(x[0]) or _open(x[-1]) for x in lines):
+                self.rows[word] = self.UNCLEAN
                 continue
-            mine = lines[word] = []
-            for i, part in enumerate(parts):
-                mark = part[-1] in self.MARKS and part[-2:-1].isalpha()
-                stem = ("\n" if i else " ") + (part[:-1] if mark else part)
-                stems[stem] = b""
-                mine.append((stem, self.mark_ids[part[-1]] if mark else b""))
-        stems = dict(zip(stems, self._joined(list(stems)), strict=True))
-        for word, mine in lines.items():
-            self.rows[word] = b"".join([x for stem, mark in mine for x in (stems[stem], mark)])
+            before, lead = len(pieces), " "
+            for line in lines:
+                if line[-1] in MARKS and line[-2:-1].isalpha():
+                    pieces.append(stems.setdefault(lead + line[:-1], len(stems)))
+                    pieces.append(stems[line[-1]])
+                else:
+                    pieces.append(stems.setdefault(lead + line, len(stems)))
+                lead = "\n"
+            self.rows[word] = row
+            row += 1
+            sizes.append(len(pieces) - before)
+        marks = self._whole(sorted(MARKS))
+        ids, counts = self._joined(list(stems)[len(marks) :])
+        pool, counts = np.concatenate([*marks, ids]), np.concatenate([[len(m) for m in marks], counts]).astype(np.int64)
+        pieces = np.array(pieces, np.int64)
+        new = pool[_spread((np.cumsum(counts) - counts)[pieces], counts[pieces])]
+        ends = np.concatenate([[0], np.cumsum(counts[pieces])])[np.cumsum(np.array(sizes, np.int64))]
+        self.ids, self.starts = np.concatenate([self.ids, new]), np.concatenate([self.starts, self.starts[-1] + ends])
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """The row of each of these distinct words."""
+        new = [w for w in words if w not in self.rows]
+        if len(self.rows) + len(new) > self.size:
+            self._clear()
+            new = words
+        self._learn(new)
+        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and their number by text; a null text has none."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(texts, " ")
+        parts = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        first = np.cumsum(parts) - parts
+        coded = cut.flatten().dictionary_encode()
+        word = coded.indices.to_numpy().astype(np.int64)
+        heads = cut.flatten().take(pa.array(first)).to_numpy(zero_copy_only=False).tolist()
+        behind = np.ones(len(word), bool)
+        behind[first] = False
+        used = np.unique(word[behind])
+        row = np.full(len(coded.dictionary), self.UNCLEAN, np.int64)
+        row[used] = self._places(coded.dictionary.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        row = row[word]
+
+        owner = np.repeat(np.arange(len(texts)), parts)
+        whole = np.zeros(len(texts), bool)
+        whole[owner[behind & (row == self.UNCLEAN)]] = True
+        whole |= np.array([not h or _open(h[-1]) for h in heads])
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        own = texts.filter(pa.array(whole)).to_pylist()
+        alone = iter(self._whole(own))
+        starting = iter(self._whole([h for h, w in zip(heads, whole, strict=True) if not w]))
+        lead = [next(alone) if w else next(starting) for w in whole]
+        sizes = np.array([len(x) for x in lead], np.int64)
+
+        pool = np.concatenate([self.ids, *lead])
+        at, count = self.starts[row], self.starts[row + 1] - self.starts[row]
+        count[whole[owner]] = 0
+        at[first], count[first] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        return pool[_spread(at, count)], np.add.reduceat(count, first)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        new = set(filterfalse(self.rows.__contains__, chain.from_iterable(islice(parts, 1, None) for parts in cut)))
-        if len(self.rows) + len(new) > self.size:
-            self.rows.clear()
-            self.unclean.clear()
-            new = set(chain.from_iterable(islice(parts, 1, None) for parts in cut))
-        self._learn(new - self.unclean)
-        odd = self.unclean & new
-        whole = [i for i, parts in enumerate(cut) if texts[i] and (not parts[0] or _open(parts[0][-1]) or (odd and not odd.isdisjoint(parts[1:])) or any(a in texts[i] for a in self.added))]
-        out = [b""] * len(texts)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        rest = [i for i in sorted(set(range(len(texts))).difference(whole)) if texts[i]]
-        for i, ids in zip(rest, self._whole([cut[i][0] for i in rest]), strict=True):
-            out[i] = b"".join([ids, *map(self.rows.__getitem__, islice(cut[i], 1, None))])
-        return out
-
-
-@lru_cache(maxsize=1)
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+
 def word_table(path: str) -> WordTable:
     """One table for all tasks of a worker: what a word's ids are depends on nothing else."""
-    return WordTable(path)
+    return kept(WordTable, path)
 
 
 # --- files ----------------------------------------------------------------------------------------------------------
@@ -217,31 +273,40 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_table(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        shard = TaskContext.get().partitionId()
-        held: list[tuple[pa.Array, list[bytes]]] = []
+        words, shard = word_table(tokenizer_path), TaskContext.get().partitionId()
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         ids_held, begun, segment = 0, 0, 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, xs in held for x in xs), "<u4")
-            lengths = [len(x) // 4 for _, xs in held for x in xs]
-            names = pa.concat_arrays([a for a, _ in held])
-            lists = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
-            row = [pa.array([shard], pa.int32()), pa.array([segment], pa.int64()), pa.array([begun], pa.int64()), pa.array([len(ids)], pa.int64()), lists, pa.array([lengths], pa.list_(pa.int32())), pa.array([pack(ids)], pa.binary())]
+            ids = np.concatenate([x for _, x, _ in held])
+            lengths = np.concatenate([n for _, _, n in held]).astype(np.int32)
+            names = pa.concat_arrays([a for a, _, _ in held])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), x) for x in (names, pa.array(lengths))]
+            row = [pa.array([shard], pa.int32()), pa.array([segment], pa.int64()), pa.array([begun], pa.int64()), pa.array([len(ids)], pa.int64()), *lists, pa.array([pack(ids)], pa.binary())]
             return pa.RecordBatch.from_arrays(row, names=["shard", "segment", "first_id", "n_ids", "doc_ids", "lengths", "payload"])
 
-        for block in blocks(batches, limit=500_000):
-            encoded = [x + end for x in words.encode([t or "" for t in block.column("text").to_pylist()])]
-            held.append((block.column("doc_id"), encoded))
-            ids_held += sum(map(len, encoded)) // 4
-            if ids_held >= segment_ids:
-                yield closed()
-                begun, segment, held, ids_held = begun + ids_held, segment + 1, [], 0
+        for block in blocks(batches, limit=ENCODED_BYTES):
+            ids, counts = words.encode_column(block.column("text"))
+            counts = counts + 1
+            closing = np.zeros(len(ids) + len(counts), bool)
+            closing[np.cumsum(counts) - 1] = True
+            ended = np.full(len(closing), end_id, "<u4")
+            ended[~closing] = ids
+            ends, start = np.cumsum(counts), 0
+            while start < len(counts):  # whole documents until the segment has its ids
+                upto = min(len(counts), 1 + int(np.searchsorted(ends, segment_ids - ids_held + (ends[start - 1] if start else 0))))
+                a, b = (ends[start - 1] if start else 0), ends[upto - 1]
+                held.append((block.column("doc_id").slice(start, upto - start), ended[a:b], counts[start:upto]))
+                ids_held, start = ids_held + int(b - a), upto
+                if ids_held >= segment_ids:
+                    yield closed()
+                    begun, segment, held, ids_held = begun + ids_held, segment + 1, [], 0
         if held:
             yield closed()
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    tied = F.xxhash64("text")  # parts the rows of one id, or of none
+    ranges = docs.select("doc_id", "text", tied.alias("tied")).repartitionByRange(parts, "doc_id", "tied").sortWithinPartitions("doc_id", "tied", "text").drop("tied")
     ranges.mapInArrow(run, f"shard int, segment long, first_id long, n_ids long, doc_ids array<{kind}>, lengths array<int>, payload binary").write.parquet(path)
 
 
