@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from municipia.llm.shared import written
+from municipia.llm.shared import Scratch
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,17 +20,18 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where(F.col("a") > F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, component (its least node) for every node of edges (a, b); ids of any ordered type.
 
-    Each round writes its stars to the shared folder, so a lost executor costs one round at most. Ends when a round changes
+    Each round writes its stars to the scratch folder, so a lost executor costs one round at most. Ends when a round changes
     nothing; the number of rounds grows with the logarithm of the number of nodes.
     """
-    held = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    scratch = scratch or Scratch(edges.sparkSession)
+    held = scratch.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = sign(held)
     while before[0]:
-        held = written(_stars(_stars(held, large=True), large=False))
+        held = scratch.written(_stars(_stars(held, large=True), large=False))
         if (now := sign(held)) == before:
             break
         before = now

@@ -4,13 +4,15 @@
 2. Two sets that link share one of the first ``size - ceil(t * size) + 1`` shingles of each in any common order, so members
    are dealt to a block for each such shingle. The order puts shingles that many documents share last (the most frequent
    ``HOT_SHINGLES`` of the whole table, counted first), which keeps passages that recur everywhere from gathering documents.
-   Blocks of the same members collapse to one; a block larger than ``BLOCK`` is split by a hash into chunks and each pair
+   Blocks of the same members, told by their number and 128 bits of hashes, collapse to one; a block larger than ``BLOCK`` is split by a hash into chunks and each pair
    of chunks becomes a block, so no task holds more than two chunks.
 3. In a block, a signature tree over bitmaps and size ranges is traversed against itself (``signature_tree``). The first
    traversal, over each class's largest blocks, reports the likeliest partner of each member; exact overlaps of those give
-   components. The second reports
-   every possible pair of members that are still in different components. All reported pairs are checked on whole shingle
-   sets, so the links between components are exact, and no link that would change a component is lost.
+   components. The second reports every possible pair of members that are still in different components, each in one of the
+   blocks that hold both: that of the least shingle. All reported pairs are checked on whole shingle sets, so the links
+   between components are exact, and no link that would change a component is lost.
+4. Shingle sets are made anew, and shuffled, for the documents of reported pairs alone; a bitmap of their hashed ids, of
+   ``MARKS`` bits at most, keeps most other texts from the shuffle that finds them.
 
 Shingle hashes have 64 bits; two shingles of a pair of sets share a hash by chance about once in 10^14 pairs.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from municipia.llm import signature_tree
 from municipia.llm.components import components
-from municipia.llm.shared import blocks, written
+from municipia.llm.shared import Scratch, blocks, written
 from municipia.llm.words import hashes, mix, shingles
 
 WORDS = 5
@@ -42,6 +44,8 @@ SPAN = 4_000_000
 BLOCK = 4096
 #: Blocks of each class in the first traversal.
 HEAD_START = 8
+#: Bits of the largest bitmap of ids: 16 MB are broadcast, however many documents there are.
+MARKS = 1 << 27
 
 
 def digest(sh: np.ndarray) -> bytes:
@@ -169,7 +173,12 @@ def block_pairs(rows: pa.Table, num: int, den: int, best_only: bool) -> tuple[np
 
 
 def tree_pairs(members: DataFrame, classes: DataFrame, best_only: bool, num: int, den: int, block: int) -> DataFrame:
-    """a, b: classes that the trees leave as possible links. members: token, band, own, cls, n, m (of its block)."""
+    """a, b: classes that the trees leave as possible links, once each. members: token, band, own, cls, n, m (of its block)."""
+    if not best_only:  # a pair is reported where no lower block of its band holds both
+        lists = members.groupBy("cls", "band", "own").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+        members = members.join(lists, ["cls", "band", "own"])
+    else:
+        members = members.withColumn("tokens", F.lit(None).cast("array<long>"))
     k = F.ceil(F.col("m") / block).cast("int")
     dealt = (
         members.withColumn("k", k)
@@ -178,12 +187,17 @@ def tree_pairs(members: DataFrame, classes: DataFrame, best_only: bool, num: int
         .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     )
     keys = ["token", "band", "low", "high"]
-    placed = dealt.join(classes, "cls").select(*keys, "own", "chunk", "cls", "n", "bits", "component").repartition(*keys).sortWithinPartitions(*keys, "n", "cls")
+    placed = dealt.join(classes, "cls").select(*keys, "own", "chunk", "cls", "n", "bits", "component", "tokens").repartition(*keys).sortWithinPartitions(*keys, "n", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for rows in runs(batches, keys):
             i, j = block_pairs(rows, num, den, best_only)
+            if len(i) and not best_only:
+                here = rows.column("token")[0].as_py()
+                lower = {k: {t for t in rows.column("tokens")[k].as_py() if t < here} for k in np.union1d(i, j).tolist()}
+                first = [lower[x].isdisjoint(lower[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                i, j = i[first], j[first]
             if len(i):
                 names = rows.column("cls").combine_chunks()
                 a.append(names.take(pa.array(i)))
@@ -195,59 +209,73 @@ def tree_pairs(members: DataFrame, classes: DataFrame, best_only: bool, num: int
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(a), pa.concat_arrays(b)], names=["a", "b"])
 
     pairs = placed.mapInArrow(run, "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return pairs.distinct() if best_only else pairs
 
 
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame, most: int = MARKS) -> DataFrame:
+    """The rows of docs (doc_id, text) whose doc_id is in ids, a written table of distinct ids."""
+    slots = min(most, max(1 << 15, 1 << (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)) + 1
+    marks = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = docs.select("doc_id", "text", F.bitmap_bucket_number(slot).alias("bucket"), at.alias("at")).join(F.broadcast(marks), "bucket")
+    return marked.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select("doc_id", "text").join(ids, "doc_id", "left_semi")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of a written table whose whole shingle sets link."""
     named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    ids = written(classes.join(named, "cls", "left_semi").select("doc_id").distinct())
-    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), words)
+    ids = scratch.written(classes.join(named, "cls", "left_semi").select("doc_id").distinct())
+    sets = scratch.written(shingle_sets(texts_of(docs, ids), words).join(named, "cls", "left_semi").dropDuplicates(["cls"]))
     with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return with_b.where((num + den) * common >= num * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
+    return scratch.written(with_b.where((num + den) * common >= num * (F.size("sa") + F.size("sb"))).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) for each row of docs."""
+    scratch = Scratch(docs.sparkSession)
     held = written(profiles(docs, hot_shingles(docs, words), words, num, den))
     named = held.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = F.xxhash64("cls")
     postings = named.select(F.explode("prefix").alias("token"), key.alias("key"))
     shared = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    dealt = written(postings.join(shared, "token").distinct())
-    classes = written(
+    dealt = scratch.written(postings.join(shared, "token").distinct())
+    classes = scratch.written(
         named.where("bits is not null").join(dealt.select("key").distinct().withColumnRenamed("key", "k"), key == F.col("k"), "left_semi")
         .select("cls", key.alias("key"), "doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["cls"])
     )
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
-    members = written(
+    members = scratch.written(
         dealt.join(classes.select("cls", "n", "key"), "key")
         .select("token", "cls", "n", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x"))
         .select("token", "cls", "n", "x.band", "x.own")
     )
-    sets = members.groupBy("token", "band").agg(F.count("*").alias("m"), F.count_if("own").alias("owners"), F.bit_xor(F.xxhash64("cls", "own")).alias("who"))
-    chosen = sets.where("m > 1 and owners > 0").groupBy("band", "m", "owners", "who").agg(F.min("token").alias("token")).select("token", "band", "m")
-    members = written(members.join(chosen, ["token", "band"]))
+    sets = members.groupBy("token", "band").agg(F.count("*").alias("m"), F.count_if("own").alias("owners"), F.bit_xor(F.xxhash64("cls", "own")).alias("who"), F.bit_xor(F.xxhash64("own", "cls")).alias("which"))
+    chosen = sets.where("m > 1 and owners > 0").groupBy("band", "m", "owners", "who", "which").agg(F.min("token").alias("token")).select("token", "band", "m")
+    members = scratch.written(members.join(chosen, ["token", "band"]))
 
     # a head start only: each class in its largest blocks, which it shares with most others; the second traversal is complete
     place = F.row_number().over(Window.partitionBy("cls", "own").orderBy(F.desc("m"), "token"))
     largest = members.withColumn("place", place).where(F.col("place") <= HEAD_START).drop("place")
-    first = written(tree_pairs(largest, classes.select("cls", "bits", F.col("cls").alias("component")), True, num, den, block))
-    links = written(linked(first, docs, classes, words, num, den))
-    roots = written(components(links))
+    first = scratch.written(tree_pairs(largest, classes.select("cls", "bits", F.col("cls").alias("component")), True, num, den, block))
+    links = linked(first, docs, classes, words, num, den, scratch)
+    roots = scratch.written(components(links, scratch))
     told = classes.select("cls", "bits").join(roots.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named_members = members.join(told.select("cls", "component"), "cls")
     open_blocks = named_members.groupBy("token", "band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token", "band")
-    second = written(tree_pairs(members.join(open_blocks, ["token", "band"], "left_semi"), told, False, num, den, block).join(first, ["a", "b"], "left_anti"))
-    more = linked(second, docs, classes, words, num, den)
-    roots = components(links.union(more))
+    second = scratch.written(tree_pairs(members.join(open_blocks, ["token", "band"], "left_semi"), told, False, num, den, block).join(first, ["a", "b"], "left_anti"))
+    more = linked(second, docs, classes, words, num, den, scratch)
+    roots = components(links.union(more), scratch)
 
     label = F.coalesce("component", "cls")
     least = named.groupBy("cls").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "least", label.alias("label"))
-    least = written(least)
+    least = scratch.written(least)
     final = written(least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cls", "component_id"))
+    scratch.clear()
     unlinked = held.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return held.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("doc_id", "n_shingles", "cls").join(final, "cls").select("doc_id", "n_shingles", "component_id").union(unlinked)
 
