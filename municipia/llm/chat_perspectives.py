@@ -7,6 +7,8 @@ summed over chunks of ``CHUNK`` turns first and over the sums of the chunks then
 A context role (system) takes part in no perspective of its own and is shown as itself in all. The mask covers the text and
 closing marker of the assistant's turns.
 
+Markers in texts and names are escaped ('<|' becomes '<\\|', line ends in names blanks), so no text forges a turn.
+
 Defined results: a null role is the speaker "unknown", a null text is empty, a null turn comes first; turns of one number
 follow in order of role and text, repeated rows stay repeated; rows without conv_id belong to no conversation and are left
 out; a conversation of context roles alone gives no rows.
@@ -14,7 +16,7 @@ out; a conversation of context roles alone gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTEXT = ("system",)
@@ -23,15 +25,25 @@ CHUNK = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    """Text that can't open or close a turn: '<|' is written '<\\|'."""
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
+
+
+def shown_name(speaker: Column) -> Column:
+    """A name on one line."""
+    return F.regexp_replace(escaped(speaker), r"[\r\n]", " ")
+
+
 def perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT, chunk: int = CHUNK) -> DataFrame:
     """conv_id, perspective, turn, speaker, role, rendered, start, end, mask_start, mask_end (characters; null unmasked)."""
     said = turns.where("conv_id is not null").select(
-        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), escaped(F.coalesce("text", F.lit(""))).alias("text")
     )
     people = said.where(~F.col("speaker").isin(*context)).groupBy("conv_id", F.col("speaker").alias("perspective")).agg(F.count("*").alias("turns_taken")).drop("turns_taken")
     mine = F.col("speaker") == F.col("perspective")
-    role = F.when(mine, "assistant").when(F.col("speaker").isin(*context), F.col("speaker")).otherwise("user")
-    head = F.concat(F.lit(OPEN), F.col("role"), F.when(F.col("role") == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(""), F.lit("\n"))
+    role = F.when(mine, "assistant").when(F.col("speaker").isin(*context), shown_name(F.col("speaker"))).otherwise("user")
+    head = F.concat(F.lit(OPEN), F.col("role"), F.when(F.col("role") == "user", F.concat(F.lit(" name="), shown_name(F.col("speaker")))).otherwise(""), F.lit("\n"))
     rows = (
         said.join(people, "conv_id")
         .withColumn("role", role)
@@ -55,13 +67,13 @@ def perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT, chunk: in
 
 ORACLE = r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 shown AS (
   SELECT *, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
   FROM said JOIN people USING (conv_id)
 ), headed AS (
-  SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM shown
+  SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || translate(replace(speaker, '<|', '<\|'), chr(10) || chr(13), '  ') ELSE '' END || chr(10) AS head FROM shown
 ), ended AS (
   SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered,
     sum(length(head || text || '<|im_end|>' || chr(10))) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING)::BIGINT AS stop

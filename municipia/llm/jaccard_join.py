@@ -12,7 +12,7 @@
    blocks that hold both: that of the least shingle. All reported pairs are checked on whole shingle sets, so the links
    between components are exact, and no link that would change a component is lost.
 4. Shingle sets are made anew, and shuffled, for the documents of reported pairs alone; a bitmap of their hashed ids, of
-   ``MARKS`` bits at most, keeps most other texts from the shuffle that finds them.
+   bounded size, keeps most other texts from the shuffle that finds them.
 
 Shingle hashes have 64 bits; two shingles of a pair of sets share a hash by chance about once in 10^14 pairs.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from municipia.llm import signature_tree
 from municipia.llm.components import components
-from municipia.llm.shared import Scratch, blocks, written
+from municipia.llm.shared import Scratch, among, blocks, written
 from municipia.llm.words import hashes, mix, shingles
 
 WORDS = 5
@@ -43,9 +43,7 @@ HOT_SHINGLES = 1 << 18
 SPAN = 4_000_000
 BLOCK = 4096
 #: Blocks of each class in the first traversal.
-HEAD_START = 8
-#: Bits of the largest bitmap of ids: 16 MB are broadcast, however many documents there are.
-MARKS = 1 << 27
+HEAD_START = 4
 
 
 def digest(sh: np.ndarray) -> bytes:
@@ -213,22 +211,11 @@ def tree_pairs(members: DataFrame, classes: DataFrame, best_only: bool, num: int
     return pairs.distinct() if best_only else pairs
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, most: int = MARKS) -> DataFrame:
-    """The rows of docs (doc_id, text) whose doc_id is in ids, a written table of distinct ids."""
-    slots = min(most, max(1 << 15, 1 << (16 * ids.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)) + 1
-    marks = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    marked = docs.select("doc_id", "text", F.bitmap_bucket_number(slot).alias("bucket"), at.alias("at")).join(F.broadcast(marks), "bucket")
-    return marked.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select("doc_id", "text").join(ids, "doc_id", "left_semi")
-
-
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of a written table whose whole shingle sets link."""
     named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     ids = scratch.written(classes.join(named, "cls", "left_semi").select("doc_id").distinct())
-    sets = scratch.written(shingle_sets(texts_of(docs, ids), words).join(named, "cls", "left_semi").dropDuplicates(["cls"]))
+    sets = scratch.written(shingle_sets(among(docs.select("doc_id", "text"), "doc_id", ids), words).join(named, "cls", "left_semi").dropDuplicates(["cls"]))
     with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -241,22 +228,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     held = written(profiles(docs, hot_shingles(docs, words), words, num, den))
     named = held.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = F.xxhash64("cls")
-    postings = named.select(F.explode("prefix").alias("token"), key.alias("key"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    dealt = scratch.written(postings.join(shared, "token").distinct())
-    classes = scratch.written(
-        named.where("bits is not null").join(dealt.select("key").distinct().withColumnRenamed("key", "k"), key == F.col("k"), "left_semi")
-        .select("cls", key.alias("key"), "doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["cls"])
-    )
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
-    members = scratch.written(
-        dealt.join(classes.select("cls", "n", "key"), "key")
-        .select("token", "cls", "n", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x"))
-        .select("token", "cls", "n", "x.band", "x.own")
+    sides = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
+    # one shuffle of the postings by shingle serves all that follows up to the choice of blocks
+    postings = named.select(F.explode("prefix").alias("token"), key.alias("key"), F.col("n_shingles").alias("n")).where("token is not null").repartition("token").distinct()
+    sided = postings.select("token", "key", "n", F.inline(sides))
+    met = F.count("*").alias("m"), F.count_if("own").alias("owners"), F.bit_xor(F.xxhash64("key", "own")).alias("who"), F.bit_xor(F.xxhash64("own", "key")).alias("which")
+    sets = sided.groupBy("token", "band").agg(*met).where("m > 1 and owners > 0")
+    chosen = sets.groupBy("band", "m", "owners", "who", "which").agg(F.min("token").alias("token"))
+    by_token = chosen.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "m"))).alias("sizes"))
+    dealt = scratch.written(sided.join(by_token.hint("merge"), "token").withColumn("m", F.col("sizes")[F.col("band")]).where("m is not null").drop("sizes"))
+    keys = scratch.written(dealt.select("key").distinct())
+    classes = scratch.written(
+        among(named.where("bits is not null").select("cls", key.alias("key"), "doc_id", F.col("n_shingles").alias("n"), "bits"), "key", keys).dropDuplicates(["cls"])
     )
-    sets = members.groupBy("token", "band").agg(F.count("*").alias("m"), F.count_if("own").alias("owners"), F.bit_xor(F.xxhash64("cls", "own")).alias("who"), F.bit_xor(F.xxhash64("own", "cls")).alias("which"))
-    chosen = sets.where("m > 1 and owners > 0").groupBy("band", "m", "owners", "who", "which").agg(F.min("token").alias("token")).select("token", "band", "m")
-    members = scratch.written(members.join(chosen, ["token", "band"]))
+    members = scratch.written(dealt.join(classes.select("cls", "key"), "key").drop("key"))
 
     # a head start only: each class in its largest blocks, which it shares with most others; the second traversal is complete
     place = F.row_number().over(Window.partitionBy("cls", "own").orderBy(F.desc("m"), "token"))

@@ -3,7 +3,7 @@
 Both models are trigram models over the tokens of a public byte-level tokenizer, so that every script, case and digit counts,
 with the same interpolation of all orders. The counts come from every whole text and grow with the corpus:
 
-1. Every text is encoded once; spans of about ``SPAN`` tokens, which are whole documents, are written, a row for each.
+1. Every text is encoded once (only texts that may be in the target are shuffled for it, which a bitmap of its ids tells); spans of about ``SPAN`` tokens, which are whole documents, are written, a row for each.
 2. Each span's n-grams are counted and dealt to buckets by their context; a bucket adds up the counts of its n-grams over
    all spans. The number of buckets follows the number of tokens, so neither a span nor a bucket outgrows a task.
 3. The sums go back to their spans, in the spans' own order of codes, and meet the documents there.
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from municipia.llm.shared import blocks, written
+from municipia.llm.shared import blocks, possible, written
 from municipia.llm.token_files import ENCODED_BYTES, tokenizer, word_table
 
 SYMBOLS, ORDER = 40, 4
@@ -301,8 +301,10 @@ def loss_difference(docs: DataFrame, target: DataFrame, tokenizer_path: str = TO
     edge = 1 + max(tokenizer(tokenizer_path).get_vocab(with_added_tokens=True).values()) + 1
     if edge >= 1 << 16:
         raise ValueError("the tokenizer's ids do not fit in 16 bits")
-    ids = target.select("doc_id").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    ids = written(target.where("doc_id is not null").select("doc_id").distinct())
+    some = possible(docs.select("doc_id", "text"), "doc_id", ids)
+    told_apart = some.where("maybe").join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
+    marked = told_apart.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")).union(some.where("not maybe").select("doc_id", "text", F.lit(False)))
     spans = written(encoded_spans(marked, tokenizer_path, span_tokens))
     names = ["n_target", "n_background"]
     totals = [n or 0 for n in spans.agg(*[F.sum(c) for c in names]).first()]

@@ -37,8 +37,8 @@ def license_scan(templates: dict[str, str]) -> str:
     grams = lambda source: f"SELECT *, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT *, list_filter(string_split({_PLAIN}, ' '), lambda x: x <> '') AS w FROM {source})"
     return rf"""
 WITH templates AS ({grams(f"(SELECT * FROM (VALUES {values}) AS v(template, piece))")}),
-pieces AS (SELECT doc_id, unnest(string_split(text, chr(10)) || list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda p: contains(p, chr(10)))) AS piece FROM documents WHERE text IS NOT NULL),
-parts AS ({grams("(SELECT * FROM pieces WHERE length(piece) < 3000)")}),
+pieces AS (SELECT doc_id, unnest(string_split(text, chr(10)) || list_filter(regexp_split_to_array(text, '\n(?:[^\p{{L}}\p{{N}}\n]*\n)+'), lambda p: contains(p, chr(10)))) AS piece FROM documents WHERE text IS NOT NULL),
+parts AS ({grams("pieces")}),
 scored AS (SELECT doc_id, template, 2.0 * len(list_intersect(p.g, t.g)) / (len(p.g) + len(t.g)) AS dice FROM parts p JOIN templates t ON 6 * len(p.g) >= 4 * len(t.g) AND 4 * len(p.g) <= 6 * len(t.g))
 SELECT doc_id, template, count(*) AS n_parts, max(dice)::DOUBLE AS best_dice FROM scored WHERE dice >= 0.8 GROUP BY ALL
 """

@@ -10,9 +10,12 @@ from typing import Any
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds in working arrays at once; a longer text is held alone.
 BLOCK_BYTES = 2_000_000
+#: Bits of the largest bitmap of keys: 16 MB are broadcast, however many keys there are.
+MARKS = 1 << 27
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +53,24 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def possible(rows: DataFrame, column: str, keys: DataFrame, most: int = MARKS) -> DataFrame:
+    """rows and ``maybe``: false only where the value of column is none of keys, a written table of distinct values of that
+    name. A bitmap of hashed keys tells, so the answer costs no shuffle of rows; with more keys than bits it is always yes."""
+    slots = min(most, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(column), F.lit(slots)) + 1
+    at = F.bitmap_bit_position(slot)
+    bits = keys.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    held = rows.withColumns({"__bucket": F.bitmap_bucket_number(slot), "__at": at}).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    maybe = F.col(column).isNotNull() & F.coalesce(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1, F.lit(False))
+    return held.withColumn("maybe", maybe).drop("__bucket", "__at", "__bits")
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose value of column is in keys, as for ``possible``; few others are shuffled."""
+    return possible(rows, column, keys).where("maybe").drop("maybe").join(keys, column, "left_semi")
+
+
 _kept: dict[tuple, Any] = {}
 
 
