@@ -166,8 +166,8 @@ def features(rows: DataFrame) -> DataFrame:
 
     rows: commune, doc, role, place, name, type, coordinates (JSON text)."""
     rank = F.when(F.col("role") == "deviation", 1).otherwise(0)
-    quoted = F.when(F.col("name").isNotNull(), F.concat(F.lit(',"name":"'), F.regexp_replace("name", r'(["\\])', r"\\$1"), F.lit('"'))).otherwise("")
-    text = F.concat(F.lit('{"type":"Feature","properties":{"role":"'), "role", F.lit('"'), quoted, F.lit('},"geometry":{"type":"'), "type", F.lit('","coordinates":'), "coordinates", F.lit("}}"))
+    properties = F.to_json(F.struct("role", "name"))  # escapes names; a null one is left out
+    text = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":{"type":"'), "type", F.lit('","coordinates":'), "coordinates", F.lit("}}"))
     lists = rows.groupBy("commune", "doc").agg(F.sort_array(F.collect_list(F.struct(rank.alias("r"), "place", text.alias("t")))).alias("fs"))
     return lists.select("commune", "doc", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("fs", lambda f: f["t"]), ","), F.lit("]}")).alias("geojson"))
 
@@ -181,7 +181,7 @@ def bounds(lines: DataFrame, *keys: str) -> DataFrame:
 def geojson_error(types: Column, roles: Column) -> Column:
     """Why drawn features are refused, null if they aren't."""
     allowed = F.array(*[F.lit(t) for t in ("Point", "LineString", "MultiLineString", "Polygon", "MultiPolygon")])
-    return F.when(F.size(types) > 50, "GeoJSON invalide").when(~F.forall(types, lambda t: F.array_contains(allowed, t)), "Type de géométrie non pris en charge")
+    return F.when(types.isNull() | (F.size(types) > 50), "GeoJSON invalide").when(~F.forall(types, lambda t: F.array_contains(allowed, t)), "Type de géométrie non pris en charge")
 
 
 def role_or_impact(role: Column) -> Column:
@@ -189,7 +189,7 @@ def role_or_impact(role: Column) -> Column:
 
 
 def lonlat_error(lon: Column, lat: Column) -> Column:
-    return F.when(~(lon.between(-180, 180) & lat.between(-90, 90)), "Coordonnées invalides")
+    return F.when(~F.coalesce(lon.between(-180, 180) & lat.between(-90, 90), F.lit(False)), "Coordonnées invalides")
 
 
 def icon_positions(shapes: DataFrame) -> DataFrame:

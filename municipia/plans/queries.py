@@ -72,7 +72,7 @@ def strip_postal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BASE} SELECT k, numero, d0 - 10 AS signed, (['Déménagement', 'Vide-grenier', 'Pose de benne', 'Branchement gaz', 'Réfection de chaussée'])[kind + 1] || ' - ' || house || ' ' || street AS objet,
   CASE WHEN kind > 0 THEN 'Batir ' || c_custkey END AS entreprise, kind = 0 AS particulier FROM base""")
 def decree_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = extraction.read_fields(_texts(spark, sf_dir))
+    read = extraction.read_fields(_texts(spark, sf_dir), today())
     return read.select(F.col("id").alias("k"), "numero", F.col("date_signature").alias("signed"), "objet", "entreprise", "particulier")
 
 
@@ -85,7 +85,7 @@ def split_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT k, (['demenagement', 'evenement', 'chantier', 'reseaux', 'voirie'])[kind + 1] AS category, 'route_barree,stationnement' || CASE WHEN kind >= 3 THEN ',trottoir' ELSE '' END || CASE WHEN kind = 4 THEN ',deviation' ELSE '' END AS impacts, 'route_barree' AS main, '#ff3b30' AS colour FROM base")
 def classify_decrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = extraction.read_fields(_texts(spark, sf_dir)).select(F.col("id").alias("k"), F.col("categorie").alias("category"), F.col("impacts").alias("found"))
+    read = extraction.read_fields(_texts(spark, sf_dir), today()).select(F.col("id").alias("k"), F.col("categorie").alias("category"), F.col("impacts").alias("found"))
     return read.select("k", "category", F.array_join("found", ",").alias("impacts"), classify.main_impact(F.col("found")).alias("main"), classify.line_colour(F.col("found")).alias("colour"))
 
 
@@ -94,7 +94,7 @@ def classify_decrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT k, d0 AS debut, d1 AS fin, CASE WHEN d0 = d1 THEN 'jours' ELSE 'plage' END AS mode, '8h00–17h30' AS horaires FROM base")
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = extraction.read_fields(_texts(spark, sf_dir))
+    read = extraction.read_fields(_texts(spark, sf_dir), today())
     c = F.col("calendrier")
     return read.select(F.col("id").alias("k"), c["debut"].alias("debut"), c["fin"].alias("fin"), c["mode"].alias("mode"), F.array_join(c["horaires"], ",").alias("horaires"))
 
@@ -170,10 +170,21 @@ def period_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BASE} SELECT k, commune, house || ' ' || street AS lieu, (['Déménagement', 'Vide-grenier', 'Pose de benne', 'Branchement gaz', 'Réfection de chaussée'])[kind + 1] || ' – ' || house || ' ' || street AS titre,
   'publie' AS statut, '' AS motif, CASE WHEN kind = 0 THEN 'Particulier' ELSE 'Batir ' || c_custkey END AS intervenant, d0 AS date_debut, d1 AS date_fin FROM base""")
 def decree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extraction.decree_rows(_texts(spark, sf_dir), rendered.keys(spark, sf_dir))
+    rows = extraction.decree_rows(_texts(spark, sf_dir), rendered.keys(spark, sf_dir), today())
     return rows.select(F.col("id").alias("k"), "commune", "lieu", "titre", "statut", F.col("motif_verification").alias("motif"), "intervenant", "date_debut", "date_fin")
 
 
+@query(f"""WITH {BASE} SELECT k, make_date(year(r) + (make_date(year(r), 7, 4) < r - 120)::INT, 7, 4) AS date_debut, CASE k % 4 WHEN 0 THEN 'Parc de Loisirs' WHEN 1 THEN 'Stade Municipal' END AS lieu,
+  CASE WHEN k % 4 < 2 THEN 'publie' ELSE 'a_verifier' END AS statut, CASE WHEN k % 4 < 2 THEN '' ELSE 'localisation absente' END AS motif,
+  CASE WHEN k % 4 < 2 THEN '' ELSE 'Lieu non identifié' END AS avertissements, 'Le samedi 4 juillet, le stationnement sera interdit' || ([' sur le Parc de Loisirs', ' sur le Stade Municipal', ' sur le Parking', ''])[k % 4 + 1] AS mesures
+  FROM (SELECT *, CASE WHEN k % 3 = 0 THEN DATE '{rendered.TODAY}' ELSE d0 END AS r FROM base)""")
+def undated_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsigned acts: the year comes from the decision or today; a place alone locates them, or nothing does."""
+    texts = rendered.place_decrees(spark, sf_dir).withColumnRenamed("k", "id")
+    rows = extraction.decree_rows(texts, rendered.keys(spark, sf_dir), today(), index=rendered.place_index(spark, sf_dir))
+    return rows.select(F.col("id").alias("k"), "date_debut", "lieu", "statut", F.col("motif_verification").alias("motif"), F.array_join("avertissements", ",").alias("avertissements"), F.col("mesures_texte").alias("mesures"))
+
+
 @query(f"""WITH {PERIODS} SELECT k, concat_ws(' ; ', CASE WHEN date_debut IS NULL THEN 'dates non identifiées' END, CASE WHEN house % 4 = 0 THEN 'localisation absente' WHEN house % 4 = 1 THEN 'localisation approximative' END,
   CASE WHEN date_fin - date_debut > 35 THEN NULL END) AS motif, CASE WHEN date_debut IS NULL OR house % 4 < 2 THEN 'a_verifier' ELSE 'publie' END AS statut FROM periods""")
 def publication_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,7 +357,7 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- streets and places -----------------------------------------------------------------------------------------------
 
-STREETS = f"""streets AS (SELECT n_name AS commune, n_nationkey AS town, {rendered.STREET.format("p_name")} AS name, min(p_partkey) AS seen FROM nation, part WHERE p_partkey < {rendered.PARTS} GROUP BY ALL),
+STREETS = f"""streets AS (SELECT n_name AS commune, n_nationkey AS town, {rendered.STREET.format("p_name")} AS name, min(p_partkey) AS seen FROM nation JOIN part ON p_partkey % {rendered.TOWNS} = n_nationkey GROUP BY ALL),
 words AS (SELECT *, lower(name) AS key, lower(split_part(name, ' ', 1)) || ' ' || lower(split_part(name, ' ', 3)) AS short FROM streets)"""
 
 
@@ -449,10 +460,10 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.lit("c").alias("commune"), k.cast("string").alias("name"), k.alias("k"), F.array(along).alias("parts"))
 
 
-@query("""SELECT a.s_suppkey::VARCHAR AS a, b.s_suppkey::VARCHAR AS b, (b.s_suppkey * 10)::DOUBLE AS x, (a.s_suppkey * 10)::DOUBLE AS y FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 2 = 0 AND a.s_suppkey < 99""")
+@query("""SELECT a.s_suppkey::VARCHAR AS a, b.s_suppkey::VARCHAR AS b, (b.s_suppkey * 10)::DOUBLE AS x, (a.s_suppkey * 10)::DOUBLE AS y FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 2 = 0""")
 def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _grid(spark, sf_dir)
-    pairs = g.where("k % 2 = 0 and k < 99").select("commune", F.col("name").alias("a"), (F.col("k") + 1).cast("string").alias("b"))
+    pairs = g.where("k % 2 = 0").select("commune", F.col("name").alias("a"), (F.col("k") + 1).cast("string").alias("b"))
     found = geocode.crossings(pairs, g.select("commune", "name", "parts"))
     return found.select("a", "b", F.round("point.x", 2).alias("x"), F.round("point.y", 2).alias("y"))
 

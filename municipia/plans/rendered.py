@@ -15,7 +15,8 @@ from municipia.operators.streets import street_keys
 #: Days added to order dates, which puts them after 2000.
 SHIFT = 9131
 TODAY = "2023-06-15"
-PARTS = 150
+#: Nations, whose keys count from 0: the communes. A part is a street of the commune that its key leaves.
+TOWNS = 25
 TYPES = ("Rue", "Avenue", "Chemin", "Impasse")
 SUBJECTS = ("Déménagement", "Vide-grenier", "Pose de benne", "Branchement gaz", "Réfection de chaussée")
 KINDS = ("demenagement", "evenement", "chantier", "reseaux", "voirie")
@@ -27,7 +28,7 @@ base AS (
   SELECT o_orderkey AS k, n_name AS commune, n_nationkey AS town, o_orderdate::DATE + {SHIFT} AS d0, o_orderdate::DATE + {SHIFT} + (o_orderkey % 40)::INT AS d1,
     (o_orderkey % 9998 + 1)::VARCHAR || '/' || year(o_orderdate::DATE + {SHIFT})::VARCHAR AS numero,
     (o_orderkey % 5)::INT AS kind, (o_orderkey % 97 + 1)::INT AS house, c_custkey, {STREET.format("p_name")} AS street
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON p_partkey = o_orderkey % {PARTS}
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON p_partkey = o_orderkey % (SELECT count(*) // {TOWNS} FROM part) * {TOWNS} + n_nationkey
 )"""
 
 
@@ -40,11 +41,12 @@ def _street(p: F.Column) -> F.Column:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed columns of BASE. Nations and the named parts are few; Spark broadcasts them by their size."""
+    """The typed columns of BASE; an order's street is one of its commune's parts."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") < PARTS).select("p_partkey", "p_name")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    each = p.count() // TOWNS
     k, d0 = F.col("o_orderkey"), F.date_add(F.col("o_orderdate").cast("date"), SHIFT)
-    joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(p, k % PARTS == p.p_partkey)
+    joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(p, k % each * TOWNS + F.col("n_nationkey") == p.p_partkey)
     return joined.select(
         k.alias("k"), F.col("n_name").alias("commune"), F.col("n_nationkey").alias("town"), d0.alias("d0"), F.date_add(d0, (k % 40).cast("int")).alias("d1"),
         F.concat((k % 9998 + 1).cast("string"), F.lit("/"), F.year(d0).cast("string")).alias("numero"),
@@ -74,16 +76,34 @@ def decrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """commune, name, length, seen: every commune has a street for each named part."""
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") < PARTS).groupBy(_street(F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("seen"))
-    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("commune"), F.col("n_nationkey").alias("town"))
-    return n.join(p, F.col("town") >= 0).select("commune", "name", (F.lit(100.0) + F.col("seen")).alias("length"), "seen")
+    """commune, name, length, seen: the parts of each commune by name."""
+    p = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % TOWNS).alias("town"), _street(F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("seen"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("commune"), F.col("n_nationkey").cast("long").alias("town"))
+    return n.join(p, "town").select("commune", "name", (F.lit(100.0) + F.col("seen")).alias("length"), "seen")
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return street_keys(streets(spark, sf_dir))
 
 
+PLACES = (("Parc de Loisirs", True), ("Stade Municipal", False), ("Parking", False))
+
+
+def place_decrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commune, k, text, decided: unsigned acts that name a local place, another one, one too general to tell, or none by their
+    key; one in three has no date of decision either."""
+    k = F.col("k")
+    where = F.element_at(F.array(*[F.lit(f" sur le {n}") for n, _ in PLACES], F.lit("")), (k % 4).cast("int") + 1)
+    text = F.concat(F.lit("Arrêté temporaire N°: "), "numero", F.lit("\nObjet : Déménagement\nLe Maire,\nVU le code de la route\nARRÊTENT\nArticle 1 : Le samedi 4 juillet, le stationnement sera interdit"), where, F.lit("\nArticle dernier : recours\n"))
+    return base(spark, sf_dir).select("commune", "k", text.alias("text"), F.when(k % 3 != 0, F.col("d0")).alias("decided"))
+
+
+def place_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commune, key, name, local: the same places in every commune."""
+    names = F.explode(F.array(*[F.struct(F.lit(n.lower()).alias("key"), F.lit(n).alias("name"), F.lit(own).alias("local")) for n, own in PLACES]))
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("commune"), names.alias("p")).select("commune", "p.*")
+
+
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """base() as a decree table: one row in nine has no dates, one in seven no end; statuses and impacts by key."""
     k = F.col("k")

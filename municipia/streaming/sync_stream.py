@@ -23,6 +23,15 @@ def version(folder: str, batch: int) -> str:
     return f"{folder}/v{batch:08d}"
 
 
+def last_version(spark: SparkSession, folder: str) -> int | None:
+    """The last batch whose table is whole; none before the first run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath() for f in files.listStatus(path)] if files.exists(path) else []
+    whole = [p.getName() for p in names if p.getName().startswith("v") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max((int(n[1:]) for n in whole), default=None)
+
+
 def ingest_as_published(acts: DataFrame) -> DataFrame:
     """Rows for acts (commune, id, act, changed) whose text isn't read here: published as listed."""
     a = F.col("act")
@@ -32,11 +41,10 @@ def ingest_as_published(acts: DataFrame) -> DataFrame:
 def next_state(state: DataFrame, acts: DataFrame, start_year: int, ingest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The table after a snapshot (SNAPSHOT); of several that arrived together the one last seen counts."""
     # an empty snapshot has no day: then nothing disappears, as the guard ignores it
-    day = acts.agg(F.max("seen_on").alias("day"))
-    acts = acts.join(F.broadcast(day), acts["seen_on"] == day["day"], "left_semi")
-    dated = lambda df: df.join(F.broadcast(day)).withColumnRenamed("day", "today")  # noqa: E731  one row
-    classed = sync.classify(dated(state), acts.drop("seen_on"), F.col("today"), start_year)
-    tracked = sync.track(classed.where("statut is not null"), F.col("today")).select(*StructType.fromDDL(STATE).fieldNames())
+    today = F.lit(acts.agg(F.max("seen_on")).first()[0]).cast("date")
+    acts = acts.where(F.col("seen_on") == today)
+    classed = sync.classify(state, acts.drop("seen_on"), today, start_year)
+    tracked = sync.track(classed.where("statut is not null"), today).select(*StructType.fromDDL(STATE).fieldNames())
     new = ingest(sync.to_process(classed)).select("commune", "id", *[F.col(c).alias(f"new_{c}") for c in ("numero", "date_decision", "date_publication", "statut", "motif_verification", "signature", "changed")])
     met = tracked.join(new, ["commune", "id"], "full")
     read, s = F.col("new_signature").isNotNull(), F.col("suivi_registre")
@@ -60,7 +68,10 @@ def run_available(spark: SparkSession, snapshots: str, folder: str, start_year:
         own = acts.sparkSession
         state = own.read.schema(STATE).parquet(version(folder, batch - 1)) if batch else own.createDataFrame([], STATE)
         next_state(state, acts, start_year, ingest).write.mode("overwrite").parquet(version(folder, batch))
+        done.append(batch)
 
+    done: list[int] = []
     query = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(STATE).parquet(version(folder, max(p["batchId"] for p in query.recentProgress)))
+    last = done[-1] if done else last_version(spark, folder)
+    return spark.read.schema(STATE).parquet(version(folder, last)) if last is not None else spark.createDataFrame([], STATE)

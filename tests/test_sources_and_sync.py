@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from municipia.operators import sync
 from municipia.plans import views
 from municipia.sources import osm, registry
+from municipia.operators import geocode
 from municipia.streaming import sync_stream
 
 
@@ -138,3 +139,17 @@ def test_labels_of_periods(spark):
     ).first()
     assert r[0] == "2 et 3 oct." and r[1] == "Du vendredi 9 octobre 2026 au vendredi 30 octobre 2026" and r[2] == "En cours, dernier jour aujourd'hui"
     assert [x["hours"] for x in r[3]] == ["7h–8h30", "9h–10h"] and r[4] == ["7h", "du lundi au vendredi"] and r[5] == "z79739798"
+
+
+def test_a_run_without_new_snapshots(spark, tmp_path):
+    folder = f"file://{tmp_path}/decrees"
+    listed(spark, range(3), "s").write.mode("append").parquet(f"file://{tmp_path}/in")
+    first = sync_stream.run_available(spark, f"file://{tmp_path}/in", folder, 2026)
+    again = sync_stream.run_available(spark, f"file://{tmp_path}/in", folder, 2026)
+    assert sorted(map(str, again.collect())) == sorted(map(str, first.collect())) and again.count() == 3
+
+
+def test_missing_coordinates_are_refused(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, ["Point"]), (None, 2.0, None), (1.0, 95.0, ["Circle"])], "lon double, lat double, types array<string>")
+    got = rows.select(geocode.lonlat_error(rows["lon"], rows["lat"]), geocode.geojson_error(rows["types"], rows["types"])).collect()
+    assert [(a is None, b is None) for a, b in got] == [(True, True), (False, False), (False, False)]
