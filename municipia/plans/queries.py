@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from municipia.functions import calendar_fr, classify, fields, text
@@ -597,3 +597,72 @@ def sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     act(F.when(k % 31 == 0, "'").otherwise(""), TODAY).where("k % 29 <> 0").drop("k").write.mode("append").parquet(f"{folder}/in")
     after = stream.run_available(spark, f"{folder}/in", f"{folder}/decrees", 2021)
     return after.select("commune", "id", "statut", "suivi_registre.signature")
+
+
+# --- single rules, over every order --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {BASE} SELECT k, 'Le 1er septembre, n° ' || k || ' - voie " ' || street || ' " : stationnement interdit à 8 h' AS cleaned FROM base""")
+def ocr_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a text recogniser writes amiss: the first of a month, dashes, quotes, a word cut at a line's end, hard blanks."""
+    b = rendered.base(spark, sf_dir)
+    said = F.concat(F.lit("Le 1” septembre, n° "), F.col("k").cast("string"), F.lit(" — voie « "), "street", F.lit(" » : stationne-\nment interdit à 8 h"))
+    return b.select("k", text.clean_ocr(said).alias("cleaned"))
+
+
+@query(f"WITH {BASE} SELECT k, house || ' rue du ' || k || ' mai 100' AS plain FROM base")
+def leading_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("00"), F.col("house").cast("string"), F.lit(" rue du 0"), F.col("k").cast("string"), F.lit(" mai 100"))
+    return rendered.base(spark, sf_dir).select("k", text.without_leading_zeros(said).alias("plain"))
+
+
+@query(f"""WITH {BASE} SELECT k, CASE WHEN d BETWEEN d0 - 400 AND d0 + 2920 THEN d END AS found FROM (SELECT *, make_date(year(d0) - 6 + 5 * (k % 4)::INT, 3, 3) AS d FROM base)""")
+def plausible_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years too far from the reference date are none of the act's."""
+    b = rendered.base(spark, sf_dir)
+    said = F.concat(F.lit("le 3 mars "), (F.year("d0") - 6 + 5 * (F.col("k") % 4)).cast("string"), F.lit(" au soir"))
+    return b.select("k", F.get(calendar_fr.find_dates(said, F.col("d0")), F.lit(0))["d"].alias("found"))
+
+
+@query(f"""WITH {PERIODS}, o AS (SELECT *, coalesce(coalesce(date_fin, date_debut) < {DAY}, false) AS ended FROM periods)
+  SELECT commune, k, row_number() OVER (PARTITION BY commune ORDER BY ended, CASE WHEN ended THEN date_fin END DESC NULLS LAST, NOT ended AND date_debut IS NULL, CASE WHEN NOT ended THEN date_debut END, CASE WHEN NOT ended THEN date_fin END NULLS FIRST, k) AS place FROM o""")
+def list_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the public list: live acts by their days, then ended ones from the latest."""
+    p = rendered.periods(spark, sf_dir).withColumn("key", views.list_order(F.col("date_debut"), F.col("date_fin"), today()))
+    return p.select("commune", "k", F.row_number().over(Window.partitionBy("commune").orderBy("key", "k")).alias("place"))
+
+
+@query(f"""WITH {BASE} SELECT k, CASE WHEN k % 3 = 0 THEN strftime(d0, '%Y-%m-%d') || ' 8h–12h,' || strftime(d0 + 1, '%Y-%m-%d') || ' 9h30–' || (k % 8 + 10) || 'h' WHEN k % 3 = 1 THEN strftime(d0, '%Y-%m-%d') || ',' || strftime(d0 + 1, '%Y-%m-%d') END AS days,
+  CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN '8h–12h,du lundi au vendredi' ELSE '8h–12h,9h30–' || (k % 8 + 10) || 'h' END AS notes FROM base""")
+def hours_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours beside each day where there are as many, else beside all of them."""
+    b, k = rendered.base(spark, sf_dir), F.col("k")
+    late = F.concat(F.lit("9h30–"), (k % 8 + 10).cast("string"), F.lit("h00"))
+    days = F.when(k % 3 < 2, F.array("d0", F.date_add("d0", 1))).otherwise(F.array("d0"))
+    hours = F.when(k % 3 == 1, F.array(F.lit("8h00–12h00"))).otherwise(F.array(F.lit("8h00–12h00"), late))
+    remarks = F.when(k % 3 == 1, F.array(F.lit("du lundi au vendredi"), F.lit("hors week-end"))).otherwise(F.array().cast("array<string>"))
+    shown = F.array_join(F.transform(views.hours_per_day(days, hours), lambda x: F.concat_ws(" ", F.date_format(x["day"], "yyyy-MM-dd"), x["hours"])), ",")
+    return b.select("k", shown.alias("days"), F.array_join(views.hour_notes(days, hours, remarks), ",").alias("notes"))
+
+
+@query("SELECT n_name AS commune, count(*) AS ways FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) >= 60")
+def usable_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return streets.usable_references(c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("commune")), 60)
+
+
+@query("""SELECT p_partkey % 25 AS commune, p_partkey::VARCHAR AS nom, CASE WHEN p_partkey % 3 = 0 THEN 'own' ELSE 'shipped' END AS source FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0""")
+def override_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places shipped for every even part, and own ones for every third: own ones replace or are added."""
+    k = F.col("p_partkey")
+    named = lambda every, source: table(spark, sf_dir, "part").where(k % every == 0).select((k % 25).alias("commune"), k.cast("string").alias("nom"), F.lit(source).alias("source"))
+    return streets.override_places(named(2, "shipped"), named(3, "own"))
+
+
+@query(f"WITH {BASE} SELECT k, (['b,c', 'a,c', 'a,c', 'a,b', 'a,b'])[k % 5 + 1] AS kept FROM base")
+def without_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a at 0-3, b at k % 5 and the next, and c at 4-6, those that start where the last one kept has ended."""
+    span = lambda a, b, name: F.struct(F.lit(a).cast("int").alias("start") if isinstance(a, int) else a.alias("start"), F.lit(b).cast("int").alias("end") if isinstance(b, int) else b.alias("end"), F.lit(name).alias("name"), F.lit(1.0).alias("score"))
+    s = (F.col("k") % 5).cast("int")
+    kept = streets.without_overlaps(F.array(span(4, 6, "c"), span(s, s + 2, "b"), span(0, 3, "a")))
+    return rendered.base(spark, sf_dir).select("k", F.array_join(F.transform(kept, lambda m: m["name"]), ",").alias("kept"))
