@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, token digests of what is kept out.
 
-Each stage reads its predecessor's rows as a Parquet table and returns rows with the columns of documents; the last returns
-the encoded documents. Stages learn from, count over and compare only what their predecessor kept.
+Each stage reads its predecessor's rows as a Parquet table and returns rows with the columns of documents, any others included;
+the last returns the encoded documents. Nulls, empty texts, repeated rows and empty tables are dealt with as the operators state:
+a null or empty text has no language and goes at once. Stages learn from, count over and compare only what their predecessor kept.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", encoded),
 ]
 
-#: SQL can express neither learning nor tokenizers; the tests hold run() against a brute-force version.
+#: SQL can express neither learning nor tokenizers. The tests hold run() against its stages one by one, and each stage against
+#: its operator's report, which the operators' own tests hold against brute force or planted cases.
 ORACLE_SQL: str | None = None
 
 
