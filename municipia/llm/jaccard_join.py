@@ -215,7 +215,8 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, nu
     """The pairs (a, b) of a written table whose whole shingle sets link."""
     named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     ids = scratch.written(classes.join(named, "cls", "left_semi").select("doc_id").distinct())
-    sets = scratch.written(shingle_sets(among(docs.select("doc_id", "text"), "doc_id", ids), words).join(named, "cls", "left_semi").dropDuplicates(["cls"]))
+    # both joins below read the one shuffle of the sets by class
+    sets = shingle_sets(among(docs.select("doc_id", "text"), "doc_id", ids), words).join(named.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"])
     with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
