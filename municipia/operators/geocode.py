@@ -147,20 +147,6 @@ def worst_quality(qualities: Column, has_geometry: Column) -> Column:
     return F.when(has_geometry & (worst == "none"), "approx").otherwise(worst)
 
 
-def ladder(located: DataFrame) -> Column:
-    """(lines, quality) of one location from what the joins found, best first: its stretch, the stretch by a crossing, the
-    stretch around one anchor, the street. Columns stretch, around, street_parts, kind."""
-    one = lambda c: F.array(F.col(c))
-    return (
-        F.when((F.col("kind") == "street") & F.col("street_parts").isNotNull(), F.struct(F.col("street_parts").alias("lines"), F.lit("street").alias("quality")))
-        .when((F.col("kind") == "segment") & F.col("stretch").isNotNull(), F.struct(one("stretch").alias("lines"), F.lit("precise").alias("quality")))
-        .when((F.col("kind") == "point") & F.col("around").isNotNull(), F.struct(one("around").alias("lines"), F.lit("precise").alias("quality")))
-        .when((F.col("kind") == "segment") & F.col("around").isNotNull(), F.struct(one("around").alias("lines"), F.lit("approx").alias("quality")))
-        .when(F.col("kind").isin("segment", "point") & F.col("street_parts").isNotNull(), F.struct(F.col("street_parts").alias("lines"), F.lit("approx").alias("quality")))
-        .otherwise(F.struct(F.array().cast(PARTS).alias("lines"), F.lit("none").alias("quality")))
-    )
-
-
 def features(rows: DataFrame) -> DataFrame:
     """commune, doc, geojson: a FeatureCollection, impacts before deviations, in order of place.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from municipia.functions import calendar_fr, classify, fields, text
 from municipia.functions import constants as K
 from municipia.operators import geocode, locations, streets, sync
-from municipia.plans import extraction, rendered, views
+from municipia.plans import extraction, geocoding, rendered, views
 from municipia.plans.rendered import BASE, PERIODS, TODAY, table
 from municipia.sources import osm, registry
 from municipia.sources.tables import written
@@ -542,6 +542,75 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocode.features(rows)
 
 
+_SPOTS = """o AS (SELECT o_orderkey AS k, (o_orderkey % 17)::INT AS way, (o_orderkey % 35 * 2 + 1)::INT AS h FROM orders), a AS (SELECT *, 10 * h + 2 AS x FROM o),
+  b AS (SELECT *, CASE WHEN abs(x - 100) < 10 THEN 50 ELSE abs(x - 100) END AS part, CASE WHEN way = 16 THEN x + 10 ELSE x END AS m FROM a)"""
+
+
+def _spots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, geocoding.Reference]:
+    """Each order an act that names one location of a kind by its key, in the town of a supplier: Rue H from west to east, Rue V
+    and Rue W across it, Rue P apart from them; Rue Q is in the addresses only."""
+    k = F.col("o_orderkey")
+    h = (k % 35 * 2 + 1).cast("int")
+    text = lambda c: c.cast("string") if isinstance(c, F.Column) else F.lit(c).cast("string")
+
+    def anchor(kind: str, num=None, num2=None, street=None, both: tuple[str, str] | None = None) -> F.Column:
+        two = F.array(*[F.lit(s) for s in both]) if both else F.lit(None)
+        return F.struct(F.lit(kind).alias("type"), text(num).alias("num"), text(num2).alias("num2"), text(street).alias("street"), two.cast("array<string>").alias("streets")).cast(locations.ANCHOR)
+
+    def spot(kind: str, street=None, name=None, anchor=None, start=None, end=None) -> F.Column:
+        of = lambda a: F.lit(None).cast(locations.ANCHOR) if a is None else a
+        return F.struct(F.lit(kind).alias("kind"), text(street).alias("street"), text(name).alias("name"), of(anchor).alias("anchor"), of(start).alias("from"), of(end).alias("to")).cast(locations.LOCATION)
+
+    house, nowhere = anchor("address", h, None, "Rue H"), anchor("address", 900, None, "Rue P")
+    v, w = anchor("intersection", both=("Rue H", "Rue V")), anchor("intersection", both=("Rue H", "Rue W"))
+    street, unknown = spot("street", "Rue H"), spot("place", None, "Gymnase")
+    ways = [
+        [street], [spot("place", None, "Parc")], [unknown], [spot("point", anchor=house)], [spot("point", anchor=anchor("address", h, None, "Rue P"))], [spot("point", anchor=v)],
+        [spot("point", anchor=anchor("intersection", both=("Rue H", "Rue P")))], [spot("segment", "Rue H", None, None, house, anchor("address", h + 8, None, "Rue H"))], [spot("segment", "Rue H", None, None, house, v)],
+        [spot("segment", None, None, None, house, anchor("address", 5, None, "Rue V"))], [spot("segment", "Rue H", None, None, house, nowhere)], [spot("segment", "Rue P", None, None, nowhere, nowhere)],
+        [street, unknown], [], [spot("point", anchor=anchor("address", 7, None, "Rue Q"))], [spot("segment", "Rue H", None, None, v, w)], [spot("point", anchor=anchor("address", h, h + 2, "Rue H"))],
+    ]
+    found = F.lit(None).cast(f"array<{locations.LOCATION}>")
+    for n, named in enumerate(ways):
+        found = F.when(k % len(ways) == n, F.array(*named).cast(f"array<{locations.LOCATION}>")).otherwise(found)
+    s = table(spark, sf_dir, "supplier")
+    town = F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("commune")
+    acts = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), (k % s.count()).cast("string")).alias("commune"), k.alias("id"), found.alias("localisations"), F.when(k % 17 == 12, F.array(F.lit("Rue V"), F.lit("Rue X"))).alias("deviation"))
+    line = lambda *ps: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ps])
+    rows = [("Rue H", line((0, 0), (400, 0), (1000, 0))), ("Rue V", line((100, -200), (100, 200))), ("Rue W", line((600, -200), (600, 200))), ("Rue P", line((0, 5000), (300, 5000)))]
+    shapes = lambda rows: s.select(town, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.array(p).alias("parts")) for name, p in rows])).alias("r")).select("commune", "r.*")
+    places = shapes([("Parc", line((0, 0), (0, 100), (100, 100), (100, 0), (0, 0)))]).select("commune", "name", F.lit("Polygon").alias("type"), "parts")
+    on = lambda street, number, x, y: F.struct(F.lit(street).alias("street"), number.cast("int").alias("number"), x.cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    known = F.concat(F.transform(F.sequence(F.lit(1), F.lit(79), F.lit(2)), lambda i: on("Rue H", i, i * 10 + 2, 5)), F.array(on("Rue V", F.lit(5), F.lit(103), 50), on("Rue Q", F.lit(7), F.lit(1), 9)))
+    pending = s.select(town, F.lit("Rue P").alias("street"), F.lit(900).alias("num"))
+    return acts, geocoding.Reference(shapes(rows), s.select(town, F.explode(known).alias("a")).select("commune", "a.*"), places, s.select(town, F.lit(4.5).alias("lon0"), F.lit(45.5).alias("lat0")), pending)
+
+
+@query(f"""WITH {_SPOTS} SELECT k, CASE way WHEN 0 THEN 'street' WHEN 2 THEN 'none' WHEN 4 THEN 'approx' WHEN 6 THEN 'none' WHEN 10 THEN 'approx' WHEN 11 THEN 'approx' WHEN 12 THEN 'approx' WHEN 13 THEN 'none' ELSE 'precise' END AS quality,
+  (CASE WHEN way IN (2, 6, 13) THEN 0 WHEN way IN (5, 9) THEN 2 ELSE 1 END)::BIGINT AS impacts, (way = 12)::BIGINT AS deviations,
+  (CASE way WHEN 0 THEN 1000 WHEN 3 THEN m + 25 - greatest(0, m - 25) WHEN 4 THEN 300 WHEN 5 THEN 120 WHEN 7 THEN 80 WHEN 8 THEN part WHEN 9 THEN part + 50 WHEN 10 THEN m + 40 - greatest(0, m - 40) WHEN 11 THEN 300 WHEN 12 THEN 1000 WHEN 15 THEN 500 WHEN 16 THEN m + 25 - greatest(0, m - 25) ELSE 0 END)::DOUBLE AS metres,
+  way IN (10, 11) AS waits, way NOT IN (2, 6, 13) AS centred FROM b""")
+def geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rung of the ladder, read back from the GeoJSON: how well, how many features, how many metres of lines."""
+    acts, reference = _spots(spark, sf_dir)
+    out = geocoding.geocoded(acts, reference)
+    shape = "features array<struct<properties:struct<role:string>,geometry:struct<type:string,coordinates:string>>>"
+    held = out.withColumn("f", F.from_json("geojson", shape)["features"])
+    role = lambda r: F.size(F.filter("f", lambda f: f["properties"]["role"] == r)).cast("long")
+    lines = F.transform(F.filter("f", lambda f: (f["properties"]["role"] == "impact") & (f["geometry"]["type"] == "LineString")), lambda f: F.from_json(f["geometry"]["coordinates"], "array<array<double>>"))
+    metres = F.transform(lines, lambda line: geocode.line_length(F.transform(line, lambda p: geocode.to_metres(p[0], p[1], F.lit(4.5), F.lit(45.5)))))
+    return held.select(F.col("id").alias("k"), F.col("qualite_geo").alias("quality"), role("impact").alias("impacts"), role("deviation").alias("deviations"), F.round(F.aggregate(metres, F.lit(0.0), lambda t, x: t + x), 2).alias("metres"), F.col("geocodage_incomplet").alias("waits"), F.col("centre").isNotNull().alias("centred"))
+
+
+@query(f"""WITH {BASE}, {STREETS}, d AS (SELECT k, house, seen, CASE house % 4 WHEN 1 THEN house WHEN 3 THEN house - 2 END AS num FROM base b JOIN streets s ON s.commune = b.commune AND s.name = b.street)
+  SELECT k, CASE WHEN num IS NULL THEN 'approx' ELSE 'precise' END AS qualite_geo, CASE WHEN num IS NULL THEN 'a_verifier' ELSE 'publie' END AS statut, CASE WHEN num IS NULL THEN 'localisation approximative' ELSE '' END AS motif,
+  round((CASE WHEN num IS NULL THEN 500 WHEN num = 1 THEN 17.5 ELSE 10 * num END)::DOUBLE / 111320, 6) AS lon, round((10 * seen)::DOUBLE / 110540, 6) AS lat FROM d""")
+def geocoded_decrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to drawn acts: an address publishes the act, a street without one leaves it to be checked."""
+    rows = extraction.decree_rows(_texts(spark, sf_dir), rendered.keys(spark, sf_dir), today(), reference=rendered.reference(spark, sf_dir))
+    return rows.select(F.col("id").alias("k"), "qualite_geo", "statut", F.col("motif_verification").alias("motif"), F.col("centre")[0].alias("lon"), F.col("centre")[1].alias("lat"))
+
+
 # --- table queries ----------------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from municipia.functions import constants as K
+from municipia.operators.geocode import PARTS
 from municipia.operators.streets import street_keys
+from municipia.plans.geocoding import Reference
 
 #: Days added to order dates, which puts them after 2000.
 SHIFT = 9131
@@ -86,6 +88,20 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return street_keys(streets(spark, sf_dir))
 
 
+def reference(spark: SparkSession, sf_dir: str) -> Reference:
+    """The same streets on a map, a kilometre long and ten metres apart; one house number in four has an address on them."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    s, y = streets(spark, sf_dir), F.col("seen") * 10
+    known = s.select("commune", F.col("name").alias("street"), y.cast("double").alias("y"), F.explode(F.sequence(F.lit(1), F.lit(97), F.lit(4))).alias("number"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("commune"), F.lit(0.0).alias("lon0"), F.lit(0.0).alias("lat0"))
+    return Reference(
+        s.select("commune", "name", F.array(F.array(at(F.lit(0), y), at(F.lit(1000), y))).alias("parts")),
+        known.withColumn("x", F.col("number") * 10.0),
+        spark.createDataFrame([], f"commune string, name string, type string, parts {PARTS}"),
+        n,
+    )
+
+
 PLACES = (("Parc de Loisirs", True), ("Stade Municipal", False), ("Parking", False))
 
 

@@ -1,10 +1,12 @@
 import difflib
+import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from municipia.operators import geocode, geometry, locations, streets
+from municipia.plans import geocoding
 
 NAMES = ["Rue Centrale", "Impasse Jules Petit", "Chemin de Grange Noire", "Avenue du 8 Mai 1945", "Rue Jean Macon", "Chemin des Bruyères", "Route de Marne", "Rue Comte de Mirabel"]
 
@@ -134,7 +136,62 @@ def test_geocoding_columns(spark):
     assert tuple(m) == pytest.approx((4.85, 45.67))
 
 
-def test_ladder(spark):
-    rows = [("street", None, None, [[(0.0, 0.0)]]), ("segment", [(1.0, 1.0)], None, None), ("segment", None, [(2.0, 2.0)], None), ("point", None, None, [[(0.0, 0.0)]]), ("place", None, None, None)]
-    df = spark.createDataFrame(rows, f"kind string, stretch array<{geocode.POINT}>, around array<{geocode.POINT}>, street_parts {geocode.PARTS}")
-    assert [r[0] for r in df.select(geocode.ladder(df)["quality"]).collect()] == ["street", "precise", "approx", "approx", "none"]
+def _reference(spark, pending=None):
+    streets = spark.createDataFrame([("c", "Rue A", [[(0.0, 0.0), (300.0, 0.0)]]), ("c", "Rue B", [[(100.0, -50.0), (100.0, 50.0)]]), ("c", "Rue S", [[(0.0, 900.0), (50.0, 900.0)], [(500.0, 900.0), (600.0, 900.0)]])], f"commune string, name string, parts {geocode.PARTS}")
+    addresses = spark.createDataFrame([("c", "Rue A", 4, 200.0, 5.0), ("c", "Rue A", 6, 220.0, 5.0), ("c", "Rue A", 20, 9000.0, 9000.0), ("c", "Rue L", 2, 7.0, 7.0), ("c", "Rue B", 5, 103.0, 40.0)], "commune string, street string, number int, x double, y double")
+    places = spark.createDataFrame([("c", "Parc", "Polygon", [[(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (10.0, 0.0), (0.0, 0.0)]])], f"commune string, name string, type string, parts {geocode.PARTS}")
+    centres = spark.createDataFrame([("c", 4.0, 45.0)], "commune string, lon0 double, lat0 double")
+    return geocoding.Reference(streets, addresses, places, centres, pending)
+
+
+def _acts(spark, rows):
+    return spark.createDataFrame([("c", k, x, d) for k, x, d in rows], f"commune string, id string, localisations array<{locations.LOCATION}>, deviation array<string>")
+
+
+def _spot(kind, street=None, name=None, anchor=None, start=None, end=None):
+    return (kind, street, name, anchor, start, end)
+
+
+def _at(num, street, num2=None):
+    return ("address", num, num2, street, None)
+
+
+def _drawn(spark, rows, pending=None):
+    out = {}
+    for r in geocoding.geocoded(_acts(spark, rows), _reference(spark, pending)).collect():
+        found = json.loads(r["geojson"])["features"]
+        out[r["id"]] = (r["qualite_geo"], [f["geometry"]["type"] for f in found], [f["properties"] for f in found], r["centre"], r["geocodage_incomplet"])
+    return out
+
+
+def test_places_crossings_and_two_streets_are_drawn(spark):
+    crossing = ("intersection", None, None, None, ["Rue A", "Rue B"])
+    rows = [
+        ("place", [_spot("place", name="Parc")], None),
+        ("arms", [_spot("point", anchor=crossing)], None),
+        ("two", [_spot("segment", start=_at("4", "Rue A"), end=_at("5", "Rue B"))], None),
+        ("far", [_spot("point", anchor=_at("20", "Rue A"))], None),
+        ("bare", [_spot("point", anchor=_at("2", "Rue L"))], None),
+        ("split", [_spot("street", street="Rue S")], ["Rue B", "Rue Z"]),
+        ("lost", [_spot("place", name="Ailleurs"), _spot("point", anchor=_at("abc", "Rue Z"))], []),
+        ("partly", [_spot("place", name="Ailleurs"), _spot("street", street="Rue A")], None),
+        ("none", None, None),
+    ]
+    got = _drawn(spark, rows)
+    assert {k: v[:2] for k, v in got.items()} == {
+        "place": ("precise", ["Polygon"]), "arms": ("precise", ["LineString"] * 2), "two": ("precise", ["LineString"] * 2), "far": ("precise", ["Point"]), "bare": ("precise", ["Point"]),
+        "split": ("street", ["MultiLineString", "LineString"]), "lost": ("none", []), "partly": ("approx", ["LineString"]), "none": ("none", []),
+    }
+    assert got["split"][2] == [{"role": "impact"}, {"role": "deviation", "name": "Rue B"}]
+    assert got["none"][3] is None and got["lost"][3] is None
+    k = geometry.METRES_LON * np.cos(np.radians(45))
+    assert got["partly"][3] == pytest.approx([4 + 150 / k, 45.0], abs=1e-6)
+    assert got["place"][3] == pytest.approx([4 + 5 / k, 45 + 5 / geometry.METRES_LAT], abs=1e-6)
+    assert got["arms"][3] == pytest.approx([4 + 100 / k, 45.0], abs=1e-6)
+
+
+def test_waiting_addresses_and_no_acts(spark):
+    waits = spark.createDataFrame([("c", "Rue A", 4), ("c", "Rue A", 4)], "commune string, street string, num int")
+    rows = [("a", [_spot("point", anchor=_at("4", "Rue A"))], None), ("b", [_spot("point", anchor=_at("6", "Rue A", "4")), _spot("street", street="Rue A")], None), ("c", [_spot("point", anchor=_at("6", "Rue A"))], None)]
+    assert {k: v[4] for k, v in _drawn(spark, rows, waits).items()} == {"a": True, "b": True, "c": False}
+    assert _drawn(spark, []) == {}
