@@ -95,9 +95,9 @@ def crossings(pairs: DataFrame, streets: DataFrame) -> DataFrame:
 
 
 def clipped(streets: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """commune, name, parts within the commune's ring and 30 metres around. boundaries: commune, ring array<point>."""
-    met = streets.join(boundaries, "commune", "left")
-    held = per_row(met.select("commune", "name", "parts", "ring"), "kept", PARTS, lambda r: [_points(x) for x in (G.clip(_array(r["parts"]), _array([r["ring"]])[0]) if r["ring"] else _array(r["parts"]))])
+    """commune, name, parts within the commune's rings and 30 metres around. boundaries: commune, rings array<array<point>>."""
+    met = streets.join(boundaries.select("commune", "rings"), "commune", "left")
+    held = per_row(met.select("commune", "name", "parts", "rings"), "kept", PARTS, lambda r: [_points(x) for x in (G.clip(_array(r["parts"]), *_array(r["rings"])) if r["rings"] else _array(r["parts"]))])
     return held.select("commune", "name", F.col("kept").alias("parts"))
 
 
@@ -196,11 +196,15 @@ def merged_streets(ways: DataFrame) -> DataFrame:
 
 
 def boundary_rings(members: DataFrame) -> DataFrame:
-    """commune, ring: the largest ring that outer members (coords array<point>, role) close."""
+    """commune, rings: those that outer members (coords array<point>, role) close; communes without any are left out."""
     lists = members.where("role in ('outer', '')").groupBy("commune").agg(F.sort_array(F.collect_list("coords")).alias("lines"))
+    found = per_row(lists, "rings", PARTS, lambda r: [_points(x) for x in G.rings([x for x in _array(r["lines"]) if len(x) > 1])])
+    return found.where(F.size("rings") > 0).select("commune", "rings")
 
-    def of(r: dict):
-        found = G.rings(_array(r["lines"]))
-        return _points(max(found, key=lambda x: G.area_centroid(x)[0])) if found else None
 
-    return per_row(lists, "ring", f"array<{POINT}>", of).select("commune", "ring")
+def map_centres(ways: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """commune, lon0, lat0: the centroid of the boundary, the mean vertex of the ways (commune, coords) without one. In degrees."""
+    mean = ways.select("commune", F.explode("coords").alias("p")).groupBy("commune").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"))
+    own = per_row(boundaries.select("commune", "rings"), "c", POINT, lambda r: _points(G.centroid(_array(r["rings"]))[None])[0])
+    met = mean.join(own.select("commune", "c"), "commune", "full")
+    return met.select("commune", F.coalesce("c.x", "x").alias("lon0"), F.coalesce("c.y", "y").alias("lat0"))

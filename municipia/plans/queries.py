@@ -542,6 +542,19 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocode.features(rows)
 
 
+@query("""SELECT o_custkey % 25 AS town, round(CASE WHEN o_custkey % 25 % 2 = 0 THEN 4 ELSE avg(o_orderkey % 360 + 0.5::DOUBLE) END, 4)::DOUBLE AS lon, round(CASE WHEN o_custkey % 25 % 2 = 0 THEN o_custkey % 25 + 1 ELSE avg((o_orderkey % 90)::DOUBLE) END, 4)::DOUBLE AS lat FROM orders GROUP BY 1, o_custkey % 25""")
+def map_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ways of 25 towns; every other town has a boundary of two squares side by side, eight wide with the gap."""
+    k, town = F.col("o_orderkey"), F.col("o_custkey") % 25
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ways = table(spark, sf_dir, "orders").select(town.alias("commune"), F.array(at(k % 360, k % 90), at(k % 360 + 1, k % 90)).alias("coords"))
+    high = (F.col("commune") + 1) * 2
+    ring = lambda a, b: F.array(at(F.lit(a), F.lit(0)), at(F.lit(a), high), at(F.lit(b), high), at(F.lit(b), F.lit(0)), at(F.lit(a), F.lit(0)))
+    members = ways.select("commune").distinct().where("commune % 2 = 0").select("commune", F.lit("outer").alias("role"), F.explode(F.array(ring(0, 3), ring(5, 8))).alias("coords"))
+    found = geocode.map_centres(ways, geocode.boundary_rings(members))
+    return found.select(F.col("commune").alias("town"), F.round("lon0", 4).alias("lon"), F.round("lat0", 4).alias("lat"))
+
+
 _SPOTS = """o AS (SELECT o_orderkey AS k, (o_orderkey % 17)::INT AS way, (o_orderkey % 35 * 2 + 1)::INT AS h FROM orders), a AS (SELECT *, 10 * h + 2 AS x FROM o),
   b AS (SELECT *, CASE WHEN abs(x - 100) < 10 THEN 50 ELSE abs(x - 100) END AS part, CASE WHEN way = 16 THEN x + 10 ELSE x END AS m FROM a)"""
 

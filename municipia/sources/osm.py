@@ -73,6 +73,34 @@ def read_osm_xml(spark: SparkSession, path: str, commune: str) -> tuple[DataFram
     return nodes, ways.select(F.lit(commune).alias("commune"), F.col("_id").alias("id"), tagged.alias("tags"), F.transform("nd", lambda n: n["_ref"]).alias("nodes"))
 
 
+#: Tags that make a named point of map XML a place.
+POINT_TAGS = ("amenity", "place", "leisure")
+
+
+def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    pairs = f"{schema}, tag array<struct<_k:string,_v:string>>"
+    tagged = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>")))
+    return spark.read.format("xml").option("rowTag", tag).schema(pairs).load(path).withColumn("tags", tagged)
+
+
+def read_osm_points(spark: SparkSession, path: str, commune: str) -> DataFrame:
+    """Places, as of ``route_ways``, from the named points of map XML; a point that several files hold counts once."""
+    found = _xml(spark, path, "node", "_id long, _lat double, _lon double").dropDuplicates(["_id"])
+    telling = F.exists(F.array(*[F.lit(t) for t in POINT_TAGS]), lambda t: F.array_contains(F.map_keys("tags"), t))
+    kept = found.where(telling & (F.col("tags")["name"] != ""))
+    return kept.select(F.lit(commune).alias("commune"), F.concat(F.lit("n"), F.col("_id").cast("string")).alias("id"), F.col("tags")["name"].alias("name"), place_kind(F.col("tags")).alias("kind"), F.lit("Point").alias("type"), F.array(F.struct(F.col("_lon").alias("x"), F.col("_lat").alias("y"))).alias("coords"))
+
+
+def read_osm_boundary(spark: SparkSession, path: str, commune: str, code: str) -> DataFrame:
+    """Outer members (commune, role, coords) of the relations of map XML whose commune code is that given."""
+    relations = _xml(spark, path, "relation", "_id long, member array<struct<_type:string,_ref:long,_role:string>>").where(F.col("tags")["ref:INSEE"] == code)
+    asked = relations.select(F.explode("member").alias("m")).where("m._type = 'way' and coalesce(m._role, '') in ('outer', '')").select(F.col("m._ref").alias("id")).distinct()
+    nodes, ways = read_osm_xml(spark, path, commune)
+    spread = ways.dropDuplicates(["id"]).join(asked, "id").select("commune", "id", F.posexplode("nodes").alias("k", "node")).join(nodes, ["commune", "node"])
+    lines = spread.groupBy("commune", "id").agg(F.sort_array(F.collect_list(F.struct("k", F.struct("x", "y").alias("p")))).alias("ps"))
+    return lines.select("commune", F.lit("outer").alias("role"), F.transform("ps", lambda p: p["p"]).alias("coords"))
+
+
 def save_reference(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, compression="gzip")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from municipia.operators import geocode, geometry, locations, streets
 from municipia.plans import geocoding
+from municipia.sources import osm
 
 NAMES = ["Rue Centrale", "Impasse Jules Petit", "Chemin de Grange Noire", "Avenue du 8 Mai 1945", "Rue Jean Macon", "Chemin des Bruyères", "Route de Marne", "Rue Comte de Mirabel"]
 
@@ -122,11 +123,11 @@ def test_geocoding_columns(spark):
     s = spark.createDataFrame([("c", "A", [[(0.0, 0.0), (300.0, 0.0)]]), ("c", "B", [[(100.0, -50.0), (100.0, 50.0)]])], f"commune string, name string, parts {parts}")
     pairs = spark.createDataFrame([("c", "A", "B"), ("c", "A", "nowhere")], "commune string, a string, b string")
     assert [tuple(r["point"]) for r in geocode.crossings(pairs, s).collect()] == [(100.0, 0.0)]
-    rings = spark.createDataFrame([("c", [(0.0, -10.0), (0.0, 10.0), (100.0, 10.0), (100.0, -10.0), (0.0, -10.0)])], f"commune string, ring array<{geocode.POINT}>")
+    rings = spark.createDataFrame([("c", [[(0.0, -10.0), (0.0, 10.0), (100.0, 10.0), (100.0, -10.0), (0.0, -10.0)]])], f"commune string, rings {geocode.PARTS}")
     kept = {r["name"]: r["parts"] for r in geocode.clipped(s, rings).collect()}
     assert kept["A"][0][-1]["x"] == pytest.approx(130, abs=geometry.STEP)
     members = spark.createDataFrame([("c", "outer", [(0.0, 0.0), (0.0, 9.0), (9.0, 9.0)]), ("c", "outer", [(9.0, 9.0), (0.0, 0.0)])], f"commune string, role string, coords array<{geocode.POINT}>")
-    assert len(geocode.boundary_rings(members).first()["ring"]) == 4
+    assert [len(r) for r in geocode.boundary_rings(members).first()["rings"]] == [4]
     wanted = spark.createDataFrame([("c", "S", 7), ("c", "S", 40)], "commune string, street string, num int")
     known = spark.createDataFrame([("c", "S", 5, 1.0, 1.0), ("c", "S", 9, 2.0, 2.0)], "commune string, street string, number int, x double, y double")
     assert [(r["num"], r["found"]) for r in geocode.address_points(wanted, known).collect()] == [(7, 5)]
@@ -195,3 +196,30 @@ def test_waiting_addresses_and_no_acts(spark):
     rows = [("a", [_spot("point", anchor=_at("4", "Rue A"))], None), ("b", [_spot("point", anchor=_at("6", "Rue A", "4")), _spot("street", street="Rue A")], None), ("c", [_spot("point", anchor=_at("6", "Rue A"))], None)]
     assert {k: v[4] for k, v in _drawn(spark, rows, waits).items()} == {"a": True, "b": True, "c": False}
     assert _drawn(spark, []) == {}
+
+
+def test_map_data_becomes_a_reference(spark, tmp_path):
+    """A boundary of two squares: of a street through both, what lies between them is cut out."""
+    corners = {1: (0.0, 0.0), 2: (0.0, 0.01), 3: (0.01, 0.01), 4: (0.01, 0.0), 5: (0.03, 0.0), 6: (0.03, 0.01), 7: (0.04, 0.01), 8: (0.04, 0.0), 9: (-0.01, 0.005), 10: (0.02, 0.005), 11: (0.05, 0.005)}
+    node = lambda k, p: f'<node id="{k}" lat="{p[1]}" lon="{p[0]}"/>'
+    way = lambda k, refs, tags="": f'<way id="{k}">' + "".join(f'<nd ref="{r}"/>' for r in refs) + tags + "</way>"
+    road = '<tag k="highway" v="residential"/><tag k="name" v="Rue A"/>'
+    relation = '<relation id="1"><member type="way" ref="20" role="outer"/><member type="way" ref="21" role="outer"/><member type="way" ref="22" role=""/><member type="way" ref="23" role="inner"/><tag k="ref:INSEE" v="01001"/></relation><relation id="2"><member type="way" ref="30" role="outer"/><tag k="ref:INSEE" v="9"/></relation>'
+    points = '<node id="40" lat="0.005" lon="0.005"><tag k="name" v="Halle"/><tag k="amenity" v="marketplace"/></node><node id="41" lat="0" lon="0"><tag k="name" v="Borne"/></node>'
+    path = tmp_path / "m.osm"
+    path.write_text("<osm>" + "".join(node(k, p) for k, p in corners.items()) + points + way(20, [1, 2, 3]) + way(21, [3, 4, 1]) + way(22, [5, 6, 7, 8, 5]) + way(23, [1, 2]) + way(30, [9, 10], road) + way(31, [10, 11], road) + relation + "</osm>")
+    nodes, refs = osm.read_osm_xml(spark, str(path), "c")
+    ways, areas = osm.route_ways(osm.resolve_ways(nodes, refs))
+    members = osm.read_osm_boundary(spark, str(path), "c", "01001")
+    assert members.count() == 3
+    addresses = spark.createDataFrame([("c", "Rue A", 2, 0.005, 0.005)], "commune string, street string, number int, lon double, lat double")
+    ref = geocoding.map_reference(ways, areas.unionByName(osm.read_osm_points(spark, str(path), "c")), members, addresses)
+    assert tuple(ref.centres.first())[1:] == pytest.approx((0.02, 0.005))
+    assert [(r["name"], r["type"]) for r in ref.places.collect()] == [("Halle", "Point")]
+    street = ref.streets.first()
+    assert len(street["parts"]) == 1 and len(street["within"]) == 2
+    assert [p[0]["x"] for p in street["within"]] == pytest.approx([-0.02 * geometry.METRES_LON - 30, 0.01 * geometry.METRES_LON - 30], abs=geometry.STEP + 0.1)
+    got = geocoding.geocoded(_acts(spark, [("a", [_spot("point", anchor=_at("2", "Rue A"))], None), ("b", [_spot("place", name="Halle")], None)]), ref).collect()
+    assert all(r["centre"] == pytest.approx([0.005, 0.005]) and r["qualite_geo"] == "precise" for r in got) and len(got) == 2
+    none = osm.read_osm_boundary(spark, str(path), "c", "00000")
+    assert tuple(geocode.map_centres(ways, geocode.boundary_rings(none)).first())[1:] == pytest.approx((0.02, 0.005))
