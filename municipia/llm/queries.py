@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from municipia.llm import (
     chat_perspectives,
     decontamination,
+    filter_audit,
     jaccard_join,
     language_id,
     license_scan,
@@ -70,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
@@ -95,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_perspectives": chat_perspectives.ORACLE,
     "op6_license_scan": oracles.license_scan(license_scan.TEMPLATES),
     "op9_decontamination": oracles.DECONTAMINATION,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
