@@ -16,6 +16,7 @@ from municipia.llm import (
     license_scan,
     lm_scoring,
     oracles,
+    packing,
     quality_ranking,
     quality_rules,
     sentencepiece_codec,
@@ -25,6 +26,7 @@ from municipia.llm.shared import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_MODEL)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_packing": op11_packing,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
