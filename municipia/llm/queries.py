@@ -20,6 +20,7 @@ from municipia.llm import (
     quality_ranking,
     quality_rules,
     sentencepiece_codec,
+    structure_repair,
     token_files,
 )
 from municipia.llm.shared import table
@@ -77,6 +78,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_MODEL)
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
     "op11_packing": op11_packing,
+    "op12_structure_repair": op12_structure_repair,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
@@ -108,5 +114,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_perspectives": chat_perspectives.ORACLE,
     "op6_license_scan": oracles.license_scan(license_scan.TEMPLATES),
     "op9_decontamination": oracles.DECONTAMINATION,
+    "op12_structure_repair": structure_repair.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
