@@ -38,9 +38,9 @@ DEPTH = 5
 #: Steps of the least-squares solver.
 STEPS = 4000
 #: Distinct words and bytes of them that a worker keeps; beyond either the table is begun anew, which changes no result.
-TABLE_WORDS, TABLE_BYTES = 600_000, 30_000_000
+TABLE_WORDS, TABLE_BYTES = 500_000, 20_000_000
 #: Bytes of text that are encoded together.
-ENCODED_BYTES = 6_000_000
+ENCODED_BYTES = 4_000_000
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
@@ -54,52 +54,77 @@ def tokenizer(path: str):
     return tokenizers.Tokenizer.from_file(path)
 
 
+#: Texts of these characters alone have the same ids when their letters are put in lower case first.
+CASED = r"^[\x{0}-\x{12f}\x{132}-\x{148}\x{14a}-\x{17e}\x{2010}-\x{2027}\x{20ac}\x{3000}-\x{9fff}]*$"
+
+
 class SpacedWords:
-    """The ids of each distinct word between blanks, for a tokenizer that drops white space: no pre-token reaches over a blank.
+    """The ids of each distinct word between blanks, for a tokenizer that drops case and white space and takes digits one by one.
 
-    Words are encoded many at a time with an added token between them, which parts their ids again; a word that itself holds
-    an added token is encoded alone.
+    No pre-token reaches over white space, nor over a mark between a letter and white space: a blank is put there. Words are
+    encoded many at a time with a digit between them, whose id parts them again; a word with that digit, or one of an added
+    token, is encoded alone. Letters are put in lower case beforehand where that changes no id: not where marks may combine
+    with them, nor where an added token might come about.
     """
 
+    BETWEEN = "0"
+
     def __init__(self, path: str, words: int = TABLE_WORDS, size: int = TABLE_BYTES):
         self.tokenizer, self.most, self.size = tokenizer(path), words, size
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.between = next(iter(self.added))
-        if [len(x.ids) for x in self.tokenizer.encode_batch_fast(["", " ", f" {self.between} "], add_special_tokens=False)] != [0, 0, 1]:
-            raise ValueError("this tokenizer keeps white space")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        digit, spaced, joined, cased = self._encoded([self.BETWEEN, f" {self.BETWEEN} \n", f"1{self.BETWEEN}2", "AÉa.\n"])
+        if len(digit) != 1 or spaced != digit or joined[1:2] != digit or len(joined) != 3 or cased != self._encoded(["aéa ."])[0]:
+            raise ValueError("this tokenizer keeps case, white space or runs of digits")
+        self.digit = digit[0]
         self._clear()
 
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
         self.held = 0
         self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if not any(t in w for t in self.added)]
+        alone = [w for w in words if self.BETWEEN in w or any(t in w for t in self.added)]
+        plain = [w for w in words if self.BETWEEN not in w and not any(t in w for t in self.added)] if alone else words
         groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        ids, counts = [], []
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([self.between.join(g) for g in groups], add_special_tokens=False), strict=True):
-            mine = np.array(found.ids, "<u4")
-            cut = mine == self.added[self.between]
-            counts.append(np.diff(np.flatnonzero(cut) - np.arange(len(group) - 1), prepend=0, append=int((~cut).sum())))
-            ids.append(mine[~cut])
-        alone = [w for w in words if any(t in w for t in self.added)]
-        for found in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False):
-            ids.append(np.array(found.ids, "<u4"))
-            counts.append(np.array([len(found.ids)], np.int64))
-        for word in plain + alone:
-            self.rows[word] = len(self.rows)
-            self.held += len(word)
+        ids, counts, between = [], [], f" {self.BETWEEN} "
+        for some in (groups[i : i + 10] for i in range(0, len(groups), 10)):
+            for group, found in zip(some, self._encoded([between.join(g) for g in some]), strict=True):
+                mine = np.array(found, "<u4")
+                cut = mine == self.digit
+                counts.append(np.diff(np.flatnonzero(cut) - np.arange(len(group) - 1), prepend=0, append=int((~cut).sum())))
+                ids.append(mine[~cut])
+        for i in range(0, len(alone), 1000):
+            for found in self._encoded(alone[i : i + 1000]):
+                ids.append(np.array(found, "<u4"))
+                counts.append(np.array([len(found)], np.int64))
+        self.rows.update(zip(plain + alone, range(len(self.rows), len(self.rows) + len(words)), strict=True))
+        self.held += sum(map(len, words))
         self.ids = np.concatenate([self.ids, *ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))])
 
+    def _alike(self, texts: pa.Array) -> pa.Array:
+        """The texts with blanks and lower case where that changes no id."""
+        texts = pc.fill_null(texts, "")
+        unsafe = pc.match_substring(texts, self.added[0], ignore_case=True)
+        for token in self.added[1:]:
+            unsafe = pc.or_(unsafe, pc.match_substring(texts, token, ignore_case=True))
+        marked = pc.or_(unsafe, pc.match_substring_regex(texts, r"\pM"))
+        lower = pc.if_else(marked, texts, pc.ascii_lower(texts))
+        lower = pc.if_else(pc.and_not(pc.match_substring_regex(texts, CASED), unsafe), pc.utf8_lower(texts), lower)
+        return pc.replace_substring_regex(pc.replace_substring(lower, "\n", " "), r"(\pL)([.,;:!?])\s", r"\1 \2 ")
+
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and their number by text; a null text has none."""
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        cut = pc.split_pattern(self._alike(texts), " ")
         parts = pc.list_value_length(cut).to_numpy().astype(np.int64)
         coded = cut.flatten().dictionary_encode()
+        del cut
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.rows]
         if len(self.rows) + len(new) > self.most or self.held + sum(map(len, new)) > self.size:

@@ -24,6 +24,17 @@ def test_words_give_the_librarys_ids():
             assert got == [library.encode(t or "", add_special_tokens=False).ids for t in some]
 
 
+def test_lower_case_is_the_librarys_within_the_class_that_is_put_so():
+    import pyarrow.compute as pc
+
+    cased = pa.array([chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000])
+    cased = cased.filter(pc.match_substring_regex(cased, packing.CASED))
+    assert len(cased) > 20_000 and pc.utf8_lower(cased).to_pylist() == [c.lower() for c in cased.to_pylist()]
+    library = Tokenizer.from_file(WORD_MODEL)
+    both = [[library.encode(f"x{c}", add_special_tokens=False).ids for c in column.to_pylist()[:1000]] for column in (cased, pc.utf8_lower(cased))]
+    assert both[0] == both[1]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_least_squares_meets_the_optimality_conditions(seed):
     rng = np.random.default_rng(seed)
