@@ -3,8 +3,9 @@
 Every language has a probability for each letter piece of a public vocabulary. The probability of a marked word is the sum
 over all ways to cut it into pieces, by the forward algorithm; a text's is the product over its words. The piece
 probabilities come from expectation-maximisation (forward-backward) on word counts of a sample: about ``SAMPLE_DOCS``
-documents of each language, taken by a hash of doc_id, so its size does not grow with the table. Scoring covers all words
-of all texts; a task scores each distinct word once.
+documents of each language, or ``SAMPLE_BYTES`` of text if that is less, taken by a hash of doc_id and text, so its size does
+not grow with the table. Every language that occurs is learnt; the model has a column for each. Scoring covers all words of
+all texts; a task scores each distinct word once. A letter is a character of category L.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, or when there is nothing to learn from;
 equal scores go to the language first in alphabetical order; repeated rows and null ids are scored row by row.
@@ -13,6 +14,7 @@ equal scores go to the language first in alphabetical order; repeated rows and n
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,18 +28,20 @@ from pyspark.sql import functions as F
 from municipia.llm.sentencepiece_codec import MARK, processor
 from municipia.llm.shared import blocks, kept
 
-#: The bound of the training sample: documents expected of each language.
-SAMPLE_DOCS = 1500
-#: The bound of the languages learnt: those with the most documents.
-MOST_LANGS = 400
+#: The bounds of the training sample: documents and bytes of text expected of each language.
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 20_000_000
 #: A run of more letters is cut into parts of so many, each scored in turn.
 PART = 24
 ROUNDS, FLOOR, SHARED = 4, 1e-9, 0.02
-#: Distinct words that a task keeps; beyond it the table is begun anew, which changes no result.
-TABLE_SIZE = 200_000
+#: Distinct words that a task keeps, and numbers for them; beyond either the table is begun anew, which changes no result.
+TABLE_SIZE, TABLE_NUMBERS = 200_000, 8_000_000
+#: Numbers of a step of the forward algorithm: words times languages.
+STEP_NUMBERS = 100_000
 UNKNOWN = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numerals that a word character of ``re`` may be, and that are neither letters nor decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not (c.isalpha() or c.isdecimal()))
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -195,41 +199,56 @@ class WordScores:
     """Of each distinct word, its log-probability by language; begun anew beyond ``size`` words."""
 
     def __init__(self, model: Model, size: int = TABLE_SIZE):
-        self.model, self.size, self.pieces = model, size, pieces_of(model.vocabulary)
+        langs = max(1, len(model.langs))
+        self.model, self.size, self.pieces = model, max(64, min(size, TABLE_NUMBERS // langs)), pieces_of(model.vocabulary)
+        self.step = max(64, min(10_000, STEP_NUMBERS // langs))
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((min(size, 1024), len(model.langs)))
+        self.rows = np.zeros((min(self.size, 1024), len(model.langs)))
 
     def score(self, texts: list[list[str]]) -> np.ndarray:
-        """Log-probability of each text by language."""
-        new = list({w for words in texts for w in words} - self.place.keys())
+        """Log-probability of each text by language; so many words at once as the table holds."""
+        total = np.zeros((len(texts), len(self.model.langs)))
+        held: list[tuple[int, list[str]]] = []
+        n = 0
+        for i, words in enumerate(texts):
+            for at in range(0, len(words), self.size):
+                part = words[at : at + self.size]
+                if n + len(part) > self.size:
+                    self._add(total, held)
+                    held, n = [], 0
+                held.append((i, part))
+                n += len(part)
+        self._add(total, held)
+        return total
+
+    def _add(self, total: np.ndarray, parts: list[tuple[int, list[str]]]) -> None:
+        new = list({w for _, words in parts for w in words} - self.place.keys())
         if len(self.place) + len(new) > self.size:
             self.place.clear()
-            new = list({w for words in texts for w in words})
+            new = list({w for _, words in parts for w in words})
         first = len(self.place)
         self.place |= {w: first + i for i, w in enumerate(new)}
         if len(self.place) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(self.place) - len(self.rows)), self.rows.shape[1]), self.rows.dtype)])
-        for i in range(0, len(new), 10_000):
-            self.rows[first + i : first + i + len(new[i : i + 10_000])] = forward(self.pieces, self.model.p, new[i : i + 10_000])
-        total = np.zeros((len(texts), len(self.model.langs)))
-        for i, words in enumerate(texts):
-            if words:
-                total[i] = self.rows[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        return total
+            grown = min(self.size, max(len(self.place), 2 * len(self.rows)))
+            self.rows = np.concatenate([self.rows, np.zeros((grown - len(self.rows), self.rows.shape[1]), self.rows.dtype)])
+        for i in range(0, len(new), self.step):
+            some = new[i : i + self.step]
+            self.rows[first + i : first + i + len(some)] = forward(self.pieces, self.model.p, some)
+        for i, words in parts:
+            total[i] += self.rows[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------------
 
 
-def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """From the text and non-null lang of labelled (doc_id, text, lang); only a sample's word counts reach the driver."""
-    rows = labelled.where(F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, sample_docs / n)).otherwise(share)
-    rows = rows.where(F.col("lang").isin(list(sizes)))
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20)) < share * (1 << 20)
+    spark, rows = labelled.sparkSession, labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    shares = [(r.lang, min(1.0, sample_docs / r.n, sample_bytes / max(1, r.bytes or 0))) for r in sizes]
+    # a row for each language: far smaller than the model, which has a column for each
+    shared = F.broadcast(spark.createDataFrame(shares, "lang string, share double"))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("language")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -239,9 +258,9 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) ->
         for lang, counts in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = rows.where(drawn).select("lang", "text").mapInArrow(words, "lang string, word string, n long")
+    counted = rows.join(shared, "lang").where(drawn).select("lang", "text").mapInArrow(words, "lang string, word string, n long")
     table = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
+    counts: dict[str, Counter] = {lang: Counter() for lang, _ in shares}
     for lang, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
         counts[lang][word] = n
     return fit_counts(counts, vocabulary)

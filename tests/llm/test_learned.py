@@ -151,3 +151,56 @@ def test_accuracies_are_found_again():
     assert model.prior == pytest.approx(0.8, abs=0.05)
     bad, good = model.votes["a"]
     assert good[1] == pytest.approx(0.63, abs=0.05) and bad[-1] == pytest.approx(0.63, abs=0.08)
+
+
+def test_numerals_are_no_letters(marked):
+    docs = marked[0].sparkSession.createDataFrame([(7, "½ ² ③ Ⅷ 12 _", None), (8, "ª", None)], "doc_id long, text string, lang string")
+    got = language_id.language_report(marked[0].select("doc_id", "text", "lang").unionByName(docs), VOCABULARY).where("lang_pred = 'und'")
+    assert [tuple(r)[2:] for r in got.where("doc_id = 7").collect()] == [("und", 0.0)]
+    assert got.where("doc_id = 8").count() == 0
+    assert language_id.marked_parts("a½b²c Ⅷx 中") == ["a", "b", "c", "x", "中"]
+
+
+def test_predictions_are_those_of_all_segmentations(spark):
+    """Predictions of the whole operator against a sum over every segmentation, language by language."""
+    rng = random.Random(11)
+    syllables = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ein"], "cc": ["eau", "tion", "oi"]}
+    text = lambda lang: " ".join("".join(rng.choices(syllables[lang], k=2)) for _ in range(6))
+    docs = spark.createDataFrame([(i, text(lang), lang, lang) for i in range(60) for lang in [rng.choice(list(syllables))]], "doc_id long, text string, lang string, score string")
+    model = language_id.fit(docs.where(language_id.remainder(docs, 3) != 1), VOCABULARY)
+    strings = {s: i for i, s in enumerate(language_id.pieces_of(VOCABULARY).strings)}
+
+    def total(word, k):
+        if not word:
+            return 1.0
+        cuts = range(1, len(word) + 1)
+        return sum(model.p[strings.get(word[:n], -1), k] * total(word[n:], k) for n in cuts if n == 1 or word[:n] in strings)
+
+    for r, d in zip(language_id.language_report(docs, VOCABULARY).orderBy("doc_id").collect(), docs.orderBy("doc_id").collect(), strict=True):
+        logs = np.array([sum(math.log(total(language_id.MARK + w, k)) for w in d.text.split()) for k in range(3)])
+        odds = np.exp(logs - logs.max())
+        assert r.lang_pred == model.langs[int(logs.argmax())] and r.score == pytest.approx(1 / odds.sum())
+        assert not r.held_out or r.lang_pred == d.lang
+
+
+def test_more_languages_than_any_cap(spark):
+    langs = [f"l{i:04d}" for i in range(600)]
+    docs = spark.createDataFrame([(i, f"{chr(0x4e00 + i)} {chr(0x4e00 + i)}{chr(0x5e00 + i)}", lang) for i, lang in enumerate(langs)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, VOCABULARY, sample_docs=5)
+    assert model.langs == langs
+    scores = language_id.WordScores(model, size=70)
+    assert scores.size == 70 and scores.score([["a"] * 1000, []]).shape == (2, 600)
+
+
+def test_sample_takes_rows_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(None, f"wort{i}", "de") for i in range(2000)], "doc_id long, text string, lang string").selectExpr("doc_id", "translate(text, '0123456789', 'abcdefghij') AS text", "lang")
+    seen = {}
+    fit_counts = language_id.fit_counts
+    try:
+        language_id.fit_counts = lambda counts, vocabulary: seen.update(counts)
+        language_id.fit(docs, VOCABULARY, sample_docs=200)
+        assert 120 < len(seen["de"]) < 280
+        language_id.fit(docs, VOCABULARY, sample_bytes=700)
+        assert 40 < len(seen["de"]) < 160
+    finally:
+        language_id.fit_counts = fit_counts
