@@ -14,7 +14,6 @@ equal scores go to the language first in alphabetical order; repeated rows and n
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,16 +38,26 @@ TABLE_SIZE, TABLE_NUMBERS = 200_000, 8_000_000
 STEP_NUMBERS = 100_000
 UNKNOWN = "und"
 
-#: Numerals that a word character of ``re`` may be, and that are neither letters nor decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not (c.isalpha() or c.isdecimal()))
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+
+
+def _numeral(c: str) -> bool:
+    """A word character of ``re`` that is neither a letter nor a decimal digit."""
+    return c.isnumeric() and not (c.isalpha() or c.isdecimal())
+
+
+#: Those of the first plane, as a class that ``re`` looks up at once, and any character beyond that plane.
+NUMERALS, BEYOND = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if _numeral(c)) + "]"), re.compile("[\U00010000-\U0010ffff]")
+LETTERS = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def marked_parts(text: str | None) -> list[str]:
     """The runs of letters in lower case, behind the marker, long ones in parts."""
-    found = LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    if NUMERALS.search(text) or BEYOND.search(text):
+        text = "".join(" " if _numeral(c) else c for c in text)
+    found = LETTERS.findall(text)
     return [w if len(w) <= PART else w[i : i + PART] for w in found for i in (range(0, len(w), PART) if len(w) > PART else (0,))]
 
 
@@ -65,7 +74,7 @@ class Pieces:
     def __init__(self, model: str):
         sp = processor(model)
         strings = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
-        self.strings = sorted({s for s in strings if s == s.lower() and (s == MARK or LETTERS.fullmatch(s.removeprefix(MARK))) and len(s) <= PART})
+        self.strings = sorted({s for s in strings if s == s.lower() and (s == MARK or LETTERS.fullmatch(s.removeprefix(MARK)) and not any(map(_numeral, s))) and len(s) <= PART})
         self.longest = max(map(len, self.strings))
         keys = self._hashes(self.strings)
         bits = 14
