@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from municipia.functions import constants as K
 from municipia.operators import geometry as G
-from municipia.operators.locations import _arrow
+from municipia.operators.locations import _arrow, guarded
 from municipia.operators.streets import sequence_ratio
 
 POINT = "struct<x:double,y:double>"
@@ -74,14 +74,18 @@ def _points(line: np.ndarray | None) -> list[dict] | None:
     return None if line is None else [{"x": float(x), "y": float(y)} for x, y in line]
 
 
-def per_row(df: DataFrame, result: str, kind: str, of) -> DataFrame:
-    """df with a column from a helper that reads one row as a dict, on Arrow batches."""
+def per_row(df: DataFrame, result: str, kind: str, of, fault: str | None = None) -> DataFrame:
+    """df with a column from a helper that reads one row as a dict, on Arrow batches; with ``fault``, a column of that name
+    has the message of a row that fails, else such a row ends the job."""
     shape = _arrow(kind)
-    schema = StructType([*df.schema.fields, StructType.fromDDL(f"`{result}` {kind}")[result]])
+    more = [result, fault] if fault else [result]
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"`{result}` {kind}" + (f", `{fault}` string" if fault else ""))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([of(r) for r in batch.to_pylist()], shape)], names=[*batch.schema.names, result])
+            found = [guarded(of, r) if fault else (of(r), None) for r in batch.to_pylist()]
+            columns = [pa.array([x for x, _ in found], shape), pa.array([e for _, e in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns[: len(more)]], names=[*batch.schema.names, *more])
 
     return df.mapInArrow(run, schema)
 
