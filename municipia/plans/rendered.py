@@ -60,9 +60,10 @@ def _long(d: F.Column) -> F.Column:
     return F.concat_ws(" ", F.day(d).cast("string"), F.element_at(F.array(*[F.lit(m) for m in K.MONTH_NAMES]), F.month(d)), F.year(d).cast("string"))
 
 
-def decrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """commune, k, town, text, and nothing else of base()."""
+def decrees(spark: SparkSession, sf_dir: str, house: F.Column | None = None) -> DataFrame:
+    """commune, k, town, text, and nothing else of base(); house: another number, from the columns of base()."""
     b = base(spark, sf_dir)
+    b = b if house is None else b.withColumn("house", house)
     what = F.element_at(F.array(*[F.lit(s) for s in SUBJECTS]), F.col("kind") + 1)
     place = F.concat_ws(" ", F.col("house").cast("string"), "street")
     asked = F.when(F.col("kind") == 0, "Monsieur Jean Dupont").otherwise(F.concat(F.lit("l'entreprise SARL Batir "), F.col("c_custkey").cast("string")))
