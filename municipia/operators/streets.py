@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from municipia.functions import constants as K
 from municipia.functions.text import norm, without_leading_zeros
+from municipia.sources.tables import written
 
 
 def _types() -> Column:
@@ -38,16 +44,19 @@ def aliases(key: Column) -> Column:
 
 
 def street_keys(streets: DataFrame) -> DataFrame:
-    """commune, key, name from streets (commune, name, length, seen): longest street first, then the first seen; and short
-    keys of type and last word where they name one street only and no full key has them."""
+    """commune, key, name, turn from streets (commune, name, length, seen): longest street first, then the first seen; and short
+    keys of type and last word where they name one street only and no full key has them. turn orders a commune's keys: full
+    ones by the street that first had them, and short ones behind."""
     named = streets.withColumn("words", name_words(F.col("name")))
-    full = named.select("commune", "name", "length", "seen", F.explode(aliases(F.array_join(canonical_type(F.col("words")), " "))).alias("key"))
-    first = F.row_number().over(Window.partitionBy("commune", "key").orderBy(F.desc("length"), "seen"))
-    full = full.withColumn("place", first).where("place = 1").select("commune", "key", "name")
+    full = named.select("commune", "name", "length", "seen", F.posexplode(aliases(F.array_join(canonical_type(F.col("words")), " "))).alias("pos", "key"))
+    turn = lambda late, seen, pos: F.struct(F.lit(late).alias("late"), seen.cast("long").alias("seen"), pos.cast("int").alias("pos"))
+    best = F.min_by("name", F.struct(-F.col("length"), "seen", "name"))
+    full = full.groupBy("commune", "key").agg(best.alias("name"), F.min(turn(0, F.col("seen"), F.col("pos"))).alias("turn"))
     last = F.element_at("words", -1)
     long = named.where((F.size("words") >= 3) & _types()[F.get("words", F.lit(0))].isNotNull() & ~last.rlike(r"^\d+$"))
-    short = long.select("commune", "name", F.concat_ws(" ", _types()[F.get("words", F.lit(0))], last).alias("key")).groupBy("commune", "key").agg(F.countDistinct("name").alias("names"), F.min("name").alias("name"))
-    return full.unionByName(short.where("names = 1").select("commune", "key", "name").join(full, ["commune", "key"], "left_anti"))
+    short = long.select("commune", "name", "seen", F.concat_ws(" ", _types()[F.get("words", F.lit(0))], last).alias("key"))
+    short = short.groupBy("commune", "key").agg(F.countDistinct("name").alias("names"), F.min("name").alias("name"), F.min(turn(1, F.col("seen"), F.lit(0))).alias("turn"))
+    return full.unionByName(short.where("names = 1").drop("names").join(full, ["commune", "key"], "left_anti"))
 
 
 def street_list(streets: DataFrame) -> DataFrame:
@@ -112,17 +121,64 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def _gram_order(keys: DataFrame) -> dict[str, int]:
+    """The pairs of neighbouring characters of all keys by how seldom they are; as many as the alphabet squared at most."""
+    grams = keys.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.substring("key", i, F.lit(2)))).alias("gram"))
+    return {r.gram: i for i, r in enumerate(grams.groupBy("gram").count().orderBy("count", "gram").collect())}
+
+
+def rare_pairs(text: str, order: dict[str, int], least: float) -> list[int]:
+    """Numbers of which any two texts that difflib finds alike by ``least`` (above 2/3) have one in common.
+
+    A ratio of r over t characters in all matches m >= r * t / 2 of them, in t - 2 * m + 1 blocks at most, each of which holds one
+    neighbouring pair less than characters: so 3 * m - t - 1 pairs or more are common, counted with their repeats. The two
+    rarest common ones then lie in the rarest pairs of either text, as many as it has less that number, plus 2: any two of
+    these make a number. Texts too short for two common pairs have one number for all."""
+    n, seen, grams = len(text), {}, []
+    for i in range(n - 1):
+        g = text[i : i + 2]
+        seen[g] = seen.get(g, 0) + 1
+        grams.append((order.get(g, -1), g, seen[g]))
+    shortest = math.ceil(n * least / (2 - least) - 1e-9)
+    common = math.ceil((1.5 * least - 1) * (n + shortest) - 1 - 1e-9)
+    number = lambda *x: xxhash.xxh64_intdigest(repr(x).encode()) - (1 << 63)
+    rarest = sorted(grams)[: max(0, n - 1 - common + 2)]
+    return [number(a, b) for a, b in itertools.combinations(rarest, 2)] + ([number("short")] if common < 2 else [])
+
+
+def _posted(rows: DataFrame, column: str, order: dict[str, int], least: float) -> DataFrame:
+    """rows, once for each of the numbers of column."""
+    schema = StructType([*rows.schema.fields, StructField("numbers", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([rare_pairs(t, order, least) for t in batch.column(column).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "numbers"])
+
+    return rows.mapInArrow(run, schema).withColumn("number", F.explode("numbers")).drop("numbers")
+
+
+def fuzzy_candidates(runs: DataFrame, keys: DataFrame, least: float) -> DataFrame:
+    """commune, cand, n, key: runs (commune, type, cand, n) and keys (commune, type, key, size) that may be alike by ``least``: of
+    one type, a word more or less at most, of fit lengths, and with two rare pairs of characters in common."""
+    order = _gram_order(keys)
+    a = _posted(runs.select("commune", "type", "cand", "n"), "cand", order, least)
+    b = _posted(keys.select("commune", "type", "key", "size"), "key", order, least)
+    fit = (F.abs(F.col("size") - F.col("n")) <= 1) & (2 * F.least(F.length("cand"), F.length("key")) >= least * (F.length("cand") + F.length("key")))
+    return a.join(b, ["commune", "type", "number"]).where(fit).select("commune", "cand", "n", "key").distinct()
+
+
 def fuzzy_matches(texts: DataFrame, keys: DataFrame, exact: DataFrame, least: float = K.FUZZY_RATIO) -> DataFrame:
-    """As exact_matches, where that found nothing: the longest run whose ratio to a key of its type reaches ``least``.
+    """As exact_matches, where that found nothing: the longest run whose ratio to a key of its type reaches ``least``; of equal
+    ratios the commune's first key.
 
-    Distinct runs meet only keys of their commune and type with a word more or less at most, and of a length with which
-    the ratio can reach the bound."""
+    Distinct runs meet only the keys that may be alike (``fuzzy_candidates``)."""
     open_runs = _candidates(texts, keys).join(exact, ["commune", "doc", "pos"], "left_anti")
-    runs = open_runs.select("commune", "type", "cand", "n").distinct()
-    typed = keys.select("commune", "key", "name", F.split("key", " ")[0].alias("type"), F.size(F.split("key", " ")).alias("size"), F.length("key").alias("chars"))
-    met = runs.join(typed, ["commune", "type"]).where((F.abs(F.col("size") - F.col("n")) <= 1) & (2 * F.least(F.length("cand"), "chars") >= least * (F.length("cand") + F.col("chars"))))
-    scored = met.withColumn("score", sequence_ratio("cand", "key")).where(F.col("score") >= least)
-    best = scored.groupBy("commune", "cand", "n").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), "key")).alias("best"))
+    runs = written(open_runs.select("commune", "type", "cand", "n").distinct())
+    turn = F.col("turn") if "turn" in keys.columns else F.col("key")
+    typed = written(keys.select("commune", "key", "name", F.split("key", " ")[0].alias("type"), F.size(F.split("key", " ")).alias("size"), turn.alias("turn")))
+    met = fuzzy_candidates(runs, typed, least).withColumn("score", sequence_ratio("cand", "key")).where(F.col("score") >= least).join(typed.select("commune", "key", "name", "turn"), ["commune", "key"])
+    best = met.groupBy("commune", "cand", "n").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), "turn", "key")).alias("best"))
     placed = open_runs.join(best, ["commune", "cand", "n"]).groupBy("commune", "doc", "pos").agg(F.max_by(F.struct("n", "best"), "n").alias("x"))
     return placed.select("commune", "doc", "pos", "x.n", F.col("x.best.name").alias("name"), F.col("x.best.score").alias("score"))
 

@@ -1,4 +1,5 @@
 import difflib
+import random
 import json
 
 import numpy as np
@@ -68,6 +69,51 @@ def test_fuzzy_against_brute_force(spark, keys):
     assert got == want
 
 
+def test_rare_pairs_lose_no_likeness():
+    rng, order = random.Random(3), {}
+    texts = ["".join(rng.choice("aab ce") for _ in range(rng.randint(1, 14))) for _ in range(700)]
+    texts += ["".join(c for c in t if rng.random() > 0.08) + rng.choice(["", "a"]) for t in texts]
+    for i, g in enumerate({t[i : i + 2] for t in texts[:500] for i in range(len(t) - 1)}):
+        order[g] = i
+    for least in (0.88, 0.75):
+        numbers = [set(streets.rare_pairs(t, order, least)) for t in texts]
+        alike = 0
+        for _ in range(120_000):
+            i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+            a, b = texts[i], texts[j]
+            if i != j and 2 * min(len(a), len(b)) >= least * (len(a) + len(b)) and difflib.SequenceMatcher(None, a, b).ratio() >= least:
+                alike += 1
+                assert numbers[i] & numbers[j], (a, b)
+        assert alike > 200
+
+
+def test_fuzzy_candidates_of_one_type(spark):
+    """A thousand streets of one type in one commune: all rows of brute force, a small share of the pairs, ties by turn."""
+    rng = random.Random(5)
+    syllables = ["ba", "lo", "mir", "ven", "tou", "che", "gra", "nel", "pi", "sau", "dor", "quin"]
+    names = sorted({"Rue " + " ".join("".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(rng.randint(1, 3))) for _ in range(1000)})
+    rng.shuffle(names)
+    keys = streets.street_keys(spark.createDataFrame([("c", n, 1.0, i) for i, n in enumerate(names)], "commune string, name string, length double, seen long"))
+    wrong = [n.lower().replace("o", "0", 1) if i % 2 else n.lower()[:-1] for i, n in enumerate(names[:120])]
+    texts = spark.createDataFrame([("c", i, w.split()) for i, w in enumerate(wrong)], "commune string, doc int, words array<string>")
+    got = {r.doc: (r.n, r.name, r.score) for r in streets.fuzzy_matches(texts, keys, streets.exact_matches(texts, keys).limit(0)).collect()}
+    known = [(r.key, r.name) for r in keys.orderBy("turn").collect()]
+    want, pairs, runs = {}, 0, set()
+    for i, w in enumerate(wrong):
+        for n in range(len(w.split()), 1, -1):
+            cand = " ".join(w.split()[:n])
+            runs.add(cand)
+            alike = [(k, name) for k, name in known if abs(len(k.split()) - n) <= 1]
+            score, name = max(((difflib.SequenceMatcher(None, cand, k).ratio(), name) for k, name in alike), key=lambda x: x[0])
+            if score >= 0.88:
+                want[i] = (n, name, score)
+                break
+    assert got == want and len(want) > 100
+    table = spark.createDataFrame([("c", "rue", c, len(c.split())) for c in runs], "commune string, type string, cand string, n int")
+    met = streets.fuzzy_candidates(table, keys.selectExpr("commune", "'rue' AS type", "key", "size(split(key, ' ')) AS size"), 0.88).count()
+    assert met < 0.2 * len(runs) * len(known)  # few syllables make many names alike
+
+
 def test_overlaps(spark):
     df = spark.sql("select array(named_struct('start',4,'end',6,'name','b','score',1D), named_struct('start',0,'end',5,'name','a','score',1D), named_struct('start',5,'end',7,'name','c','score',1D)) as m")
     assert [x["name"] for x in df.select(streets.without_overlaps(F.col("m")).alias("k")).first()["k"]] == ["a", "c"]
