@@ -12,21 +12,18 @@ An n-gram's code is exact: a bijection of its first two ids of 16 bits each, the
 stand together in one bucket, and are sent as the context and the list of tokens that follow it. The driver holds two numbers.
 
 A document's loss under a model is its mean negative log-probability a token, the end of the text being one more token to be
-told; ``score`` is target loss less background loss, so lower is nearer to the target.
+told; ``score`` is target loss less background loss, so lower is nearer to the target. A model that tells a document never
+holds the document's own counts: they are taken from the background's, and from the target's if it is a target document, so
+a score tells likeness to the others and not what is in the target. Other documents of the same text do count.
 
 Defined results: a null or empty text has n_tokens 0 and null losses; without target documents the target model is that of
 no counts (all tokens alike); repeated rows and null ids are scored row by row; several labels of a document make it a
 target if one of them does.
-
-``grams``, ``gram_counts`` and ``log_model`` are the models of four characters over an alphabet of 40 symbols; the query does
-not use them.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -38,13 +35,6 @@ from pyspark.sql import functions as F
 from municipia.llm.shared import blocks, possible, written
 from municipia.llm.token_files import ENCODED_BYTES, tokenizer, word_table
 
-SYMBOLS, ORDER = 40, 4
-#: Weights of the orders from none (all symbols alike) to four.
-MIX = (0.01, 0.04, 0.1, 0.25, 0.6)
-BLANK, DIGIT, ACCENTED, OTHER_LETTER, STOP, MARK, REST = 0, 27, 28, 36, 37, 38, 39
-#: Letters whose accented forms have a symbol of their own.
-ACCENTS = "aeioucn"
-
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Weights of the orders of tokens from none (all tokens alike) to three; an order whose context was never met is that below it.
 TOKEN_MIX = (0.01, 0.14, 0.25, 0.6)
@@ -55,76 +45,6 @@ BUCKET_BITS, BUCKET = 8, 1 << 22
 TOKEN_BITS, PAIR_BITS = 16, 32
 
 
-@lru_cache(maxsize=1)
-def alphabet() -> np.ndarray:
-    """The symbol of each code point below 65,536; others are REST."""
-    out = np.full(1 << 16, REST, np.uint8)
-    for i in range(1 << 16):
-        c = chr(i)
-        kind = unicodedata.category(c)
-        plain = unicodedata.normalize("NFD", c.lower())[:1]
-        if c.isspace():
-            out[i] = BLANK
-        elif kind == "Nd":
-            out[i] = DIGIT
-        elif c in ".,;:!?":
-            out[i] = STOP
-        elif kind[0] in "PS":
-            out[i] = MARK
-        elif kind[0] == "L":
-            own = "a" <= plain <= "z"
-            out[i] = (ord(plain) - ord("a") + 1) if own and plain == c.lower() else ACCENTED + ACCENTS.index(plain) if own and plain in ACCENTS else OTHER_LETTER - 1 if c in "ßẞ" else OTHER_LETTER
-    return out
-
-
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of the n-grams that end at each character of all texts, number of characters of each text)."""
-    lengths = np.array([len(t or "") for t in texts])
-    lead = " " * (ORDER - 1)
-    raw = np.frombuffer("".join(lead + (t or "") for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    s = np.where(raw < 1 << 16, alphabet()[np.minimum(raw, (1 << 16) - 1)], REST).astype(np.int64)
-    codes = np.zeros(len(s), np.int64)
-    for k in range(ORDER):
-        codes[k:] += s[: len(s) - k] * SYMBOLS**k
-    starts = np.cumsum(lengths + ORDER - 1) - lengths
-    inside = np.ones(len(s), bool)
-    for k in range(1, ORDER):
-        inside[starts - k] = False
-    return codes[inside], lengths
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """gram, n_target, n_background over docs (text, target boolean); background is every document."""
-    cells = SYMBOLS**ORDER
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, cells), np.int64)
-        for block in blocks(batches):
-            target = np.array(block.column("target").to_pylist(), bool)
-            codes, lengths = grams(block.column("text").to_pylist())
-            total[1] += np.bincount(codes, minlength=cells)
-            total[0] += np.bincount(codes[np.repeat(target, lengths)], minlength=cells)
-        found = np.flatnonzero(total[1])
-        for at in range(0, len(found), 100_000):
-            part = found[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[0][part]), pa.array(total[1][part])], names=["gram", "n_target", "n_background"])
-
-    counted = docs.select("text", "target").mapInArrow(run, "gram int, n_target long, n_background long")
-    return counted.groupBy("gram").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
-
-
-def log_model(counts: np.ndarray) -> np.ndarray:
-    """Log-probability of the last symbol of each n-gram, all orders mixed, from the counts of all cells."""
-    p = np.full(SYMBOLS**ORDER, MIX[0] / SYMBOLS)
-    full = counts.astype(float)
-    for k in range(1, ORDER + 1):
-        c = full.reshape(-1, SYMBOLS**k).sum(axis=0).reshape(-1, SYMBOLS)
-        of = c.sum(axis=1, keepdims=True)
-        share = np.where(of > 0, c / np.maximum(of, 1), 1 / SYMBOLS)
-        p += MIX[k] * np.tile(share.ravel(), SYMBOLS ** (ORDER - k))
-    return np.log(p).astype(np.float32)
-
-
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers as one compressed block, byte by byte of all numbers of an array; ``unpacked`` gives them again."""
     heads, planes = [], []
@@ -282,15 +202,25 @@ def added_up(counts: DataFrame) -> DataFrame:
     return counts.groupBy("bucket").applyInArrow(run, "bucket long, span long, n binary")
 
 
-def token_probabilities(n: np.ndarray, first: np.ndarray, last: np.ndarray, total: int, tokens: int) -> np.ndarray:
+def own_counts(place: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often the code at each place stands in the document of that place. n: how often it occurs in all documents."""
+    out = np.ones(len(place), np.int64)
+    several = np.flatnonzero(n > 1)
+    _, at, often = np.unique(doc[several] * (1 + int(place.max(initial=0))) + place[several], return_inverse=True, return_counts=True)
+    out[several] = often[at]
+    return out
+
+
+def token_probabilities(n: np.ndarray, first: np.ndarray, last: np.ndarray, total: np.ndarray, tokens: int) -> np.ndarray:
     """Probability of each token, all orders mixed. n: counts of the n-grams of each order that end at it (see ``token_grams``);
-    first, last: places of each text's first code and last, whose count is that of all ends and hence of all starts."""
+    first, last: places of each text's first code and last, whose count is that of all ends and hence of all starts; total: the
+    number of tokens that its model holds."""
     before = np.zeros((2, n.shape[1]), np.int64)
     before[:, 1:] = n[:2, :-1]
     before[:, first] = n[0, last]
     p = np.full(n.shape[1], 1 / tokens)
     out = TOKEN_MIX[0] * p
-    for weight, share, of in zip(TOKEN_MIX[1:], n, (np.full(n.shape[1], total), *before), strict=True):
+    for weight, share, of in zip(TOKEN_MIX[1:], n, (total, *before), strict=True):
         p = np.where(of > 0, share / np.maximum(of, 1), p)
         out += weight * p
     return out
@@ -312,25 +242,29 @@ def loss_difference(docs: DataFrame, target: DataFrame, tokenizer_path: str = TO
     none = np.zeros(0, np.int64)
 
     def run(held: pa.Table, known: pa.Table) -> pa.Table:
-        row = held.select(["lengths", "ids"]).to_pylist()[0]
+        row = held.select(["lengths", "ids", "target"]).to_pylist()[0]
         lengths = np.array(row["lengths"])
         told = lengths + (lengths > 0)
+        doc = np.repeat(np.arange(len(told)), told)
+        mine = np.array(row["target"], bool)[doc]
         ends = np.cumsum(told)
         codes, three = token_grams(unpacked(row["ids"])[0], lengths, edge)
         first = first_codes(lengths)
         pairs = np.unique(listed_pairs(codes, three, first))
         place, place_of_three = np.searchsorted(pairs, codes), np.unique(three, return_inverse=True)[1]
         parts = [unpacked(x) for x in known.sort_by("bucket").column("n").to_pylist()]
-        losses = []
-        for k, total in enumerate(totals):
+        losses, counts = [], []
+        for k in range(len(totals)):
             of_pairs, of_threes = (np.concatenate([none, *(x[k + at] for x in parts)]) for at in (0, 2))
-            n = np.concatenate([of_pairs[place], of_threes[place_of_three][None]])
-            p = token_probabilities(n, first, ends[told > 0] - 1, total, edge)
+            counts.append(np.concatenate([of_pairs[place], of_threes[place_of_three][None]]))
+        own = np.stack([own_counts(at, doc, n) for at, n in zip((*place, place_of_three), counts[-1], strict=True)])
+        for n, total, whose in zip(counts, totals, (mine, np.ones(len(doc), bool)), strict=True):
+            p = token_probabilities(n - own * whose, first, ends[told > 0] - 1, total - told[doc] * whose, edge)
             sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
             losses.append((sums[ends] - sums[ends - told]) / np.maximum(told, 1))
         columns = [pa.array(x, pa.float64(), mask=lengths == 0) for x in (*losses, losses[0] - losses[1])]
         return pa.table([held.column("doc_ids").combine_chunks().flatten(), pa.array(lengths), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    together = spans.select("span", "doc_ids", "lengths", "ids").groupBy("span").cogroup(summed.groupBy("span"))
+    together = spans.select("span", "doc_ids", "target", "lengths", "ids").groupBy("span").cogroup(summed.groupBy("span"))
     return together.applyInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")

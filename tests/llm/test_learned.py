@@ -87,8 +87,6 @@ def test_quality_of_awkward_rows(awkward, no_docs, spark):
 
 def test_lm_models_are_probabilities_and_prefer_the_target(marked, awkward, no_docs):
     docs, labels = marked
-    model = lm_scoring.log_model(np.random.default_rng(0).integers(0, 3, lm_scoring.SYMBOLS**lm_scoring.ORDER))
-    assert np.allclose(np.exp(model.reshape(-1, lm_scoring.SYMBOLS)).sum(axis=1), 1, atol=1e-4)
     got = {r["doc_id"]: r["score"] for r in lm_scoring.loss_difference(docs, labels.where("quality = 1")).collect()}
     assert max(s for i, s in got.items() if i < 200) < min(s for i, s in got.items() if i >= 200)
     rows = lm_scoring.loss_difference(awkward, labels).collect()
@@ -96,20 +94,6 @@ def test_lm_models_are_probabilities_and_prefer_the_target(marked, awkward, no_d
     assert lm_scoring.loss_difference(no_docs, labels).count() == 0
 
 
-def test_lm_counts_against_brute_force(spark):
-    texts = ["Ab é!", "", "日x", None]
-    codes, lengths = lm_scoring.grams(texts)
-    table = lm_scoring.alphabet()
-    want = []
-    for t in texts:
-        s = [0, 0, 0] + [int(table[ord(c)]) for c in t or ""]
-        want += [((s[k - 3] * 40 + s[k - 2]) * 40 + s[k - 1]) * 40 + s[k] for k in range(3, len(s))]
-    assert codes.tolist() == want and lengths.tolist() == [5, 0, 2, 0]
-    docs = spark.createDataFrame([("aa", True), ("aa", False)], "text string, target boolean")
-    counts = {r["gram"]: (r["n_target"], r["n_background"]) for r in lm_scoring.gram_counts(docs).collect()}
-    assert sorted(counts.values()) == [(1, 2), (1, 2)]
-
-
 def counted(t):
     import re
 

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -8,24 +9,21 @@ from municipia.llm import lm_scoring
 
 
 def brute(rows, good):
-    """(n_tokens, target loss, background loss) of each text by counting in dictionaries."""
+    """(n_tokens, target loss, background loss) of each text by counting, for each text anew, in all others."""
     library = Tokenizer.from_file(lm_scoring.TOKENIZER)
     library_size = max(library.get_vocab().values()) + 2
     texts = [(i, ["^", "^", *library.encode(t, add_special_tokens=False).ids, "^"]) for i, t in rows if t]
-    models = []
-    for mine in ([s for i, s in texts if i in good], [s for _, s in texts]):
-        n, of = Counter(), Counter()
-        for s in mine:
-            for k in range(2, len(s)):
-                for order in (1, 2, 3):
-                    n[tuple(s[k - order + 1 : k + 1])] += 1
-                    of[tuple(s[k - order + 1 : k])] += order > 1
-                of[()] += 1
-        models.append((n, of))
     out = {}
     for i, s in texts:
         losses = []
-        for n, of in models:
+        for others in ([x for j, x in texts if j in good and j != i], [x for j, x in texts if j != i]):
+            n, of = Counter(), Counter()
+            for x in others:
+                for k in range(2, len(x)):
+                    for order in (1, 2, 3):
+                        n[tuple(x[k - order + 1 : k + 1])] += 1
+                        of[tuple(x[k - order + 1 : k])] += order > 1
+                    of[()] += 1
             total = 0.0
             for k in range(2, len(s)):
                 p = 1 / library_size
@@ -55,8 +53,32 @@ def test_token_losses_against_brute_force(spark, span):
 
 
 def test_words_count_in_every_script(spark):
-    """Texts whose words have the same lengths but are others, in letters outside a-z, in digits and in case."""
-    docs = spark.createDataFrame([(1, "мама мыла раму"), (2, "папа ждал реку"), (3, "12 34"), (4, "98 76"), (5, "Ab cD"), (6, "aB Cd")], "doc_id long, text string")
-    good = spark.createDataFrame([(1,), (3,), (5,)], "doc_id long")
+    """Texts whose words have the same lengths but are others, in letters outside a-z, in digits and in case: of each kind some
+    are named as target, and one of either kind is told."""
+    kinds = [("мама мыла раму", "папа ждал реку"), ("12 34", "98 76"), ("Ab cD", "aB Cd")]
+    rows = [(100 * k + 10 * side + i, f"{text} {text}") for k, pair in enumerate(kinds) for side, text in enumerate(pair) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(100 * k + i,) for k in range(3) for i in range(3)], "doc_id long")
     got = {r["doc_id"]: r["score"] for r in lm_scoring.loss_difference(docs, good).collect()}
-    assert got[1] < got[2] and got[3] < got[4] and got[5] < got[6]
+    assert all(got[100 * k + 3] < got[100 * k + 13] for k in range(3))
+
+
+def test_the_score_does_not_tell_who_is_in_the_target(spark):
+    """Texts of random words, half of them named as target: nothing parts the halves."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60))) for i in range(120)], "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(0, 120, 2)], "doc_id long")
+    scores = {r.doc_id: r.score for r in lm_scoring.loss_difference(docs, good).collect()}
+    means = [sum(scores[i] for i in range(k, 120, 2)) / 60 for k in (0, 1)]
+    spread = (sum((x - sum(means) / 2) ** 2 for x in scores.values()) / 120) ** 0.5
+    assert abs(means[0] - means[1]) < spread
+
+
+def test_a_text_like_the_target_scores_lower(spark):
+    rng = random.Random(2)
+    one, two = (["".join(rng.choices(s, k=5)) for _ in range(80)] for s in ("abcde", "vwxyz"))
+    docs = spark.createDataFrame([(i, " ".join(rng.choices((one, two)[i % 2], k=50))) for i in range(80)], "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
+    scores = {r.doc_id: r.score for r in lm_scoring.loss_difference(docs, good).collect()}
+    assert max(scores[i] for i in range(0, 80, 2)) < min(scores[i] for i in range(1, 80, 2))
