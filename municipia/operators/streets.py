@@ -64,15 +64,21 @@ def street_list(streets: DataFrame) -> DataFrame:
 
 
 def place_index(places: DataFrame, local: DataFrame) -> DataFrame:
-    """commune, key, name, local, geometry, priority: local names and aliases first, with the map's geometry if it has one.
+    """commune, key, name, local, geometry, turn: the names of places in the order in which they are looked for.
 
-    places: commune, name, geometry, seen. local: commune, nom, alias array, osm_nom, geometry."""
+    places: commune, name, geometry, seen (their order). local: commune, nom, alias array, osm_nom, geometry, and rank (their
+    order) if known. Local names come first, the last of them and its last alias before all others, with the map's geometry
+    if it has one; then the map's places. One that has a local place's name counts as local."""
     found = places.select("commune", F.col("name").alias("osm_nom"), F.col("geometry").alias("mapped"), "seen")
-    found = found.withColumn("last", F.row_number().over(Window.partitionBy("commune", "osm_nom").orderBy(F.desc("seen")))).where("last = 1").drop("last", "seen")
-    own = local.join(found, ["commune", "osm_nom"], "left").select("commune", F.explode(F.concat(F.array("nom"), F.coalesce("alias", F.array().cast("array<string>")))).alias("alias"), F.col("nom").alias("name"), F.coalesce("mapped", "geometry").alias("geometry"))
+    found = found.groupBy("commune", "osm_nom").agg(F.max_by("mapped", "seen").alias("mapped"))
+    rank = F.col("rank").cast("long") if "rank" in local.columns else F.lit(0).cast("long")
+    names = F.concat(F.array("nom"), F.coalesce("alias", F.array().cast("array<string>")))
+    own = local.join(found, ["commune", "osm_nom"], "left").select("commune", F.posexplode(names).alias("pos", "alias"), F.col("nom").alias("name"), F.coalesce("mapped", "geometry").alias("geometry"), rank.alias("rank"))
     key = lambda c: F.array_join(name_words(F.col(c)), " ")
-    return own.select("commune", key("alias").alias("key"), "name", F.lit(True).alias("local"), "geometry", F.lit(0).alias("priority")).unionByName(
-        places.where("name is not null").select("commune", key("name").alias("key"), "name", F.lit(False).alias("local"), "geometry", F.lit(1).alias("priority"))
+    turn = lambda late, a, b: F.struct(F.lit(late).alias("late"), a.cast("long").alias("a"), b.cast("long").alias("b")).alias("turn")
+    mapped = places.where("name is not null").join(local.select("commune", F.col("nom").alias("name"), F.lit(True).alias("known")).distinct(), ["commune", "name"], "left")
+    return own.select("commune", key("alias").alias("key"), "name", F.lit(True).alias("local"), "geometry", turn(0, -F.col("rank"), -F.col("pos"))).unionByName(
+        mapped.select("commune", key("name").alias("key"), "name", F.coalesce("known", F.lit(False)).alias("local"), "geometry", turn(1, F.col("seen"), F.lit(0)))
     )
 
 
@@ -202,9 +208,12 @@ def street_matches(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def place_matches(texts: DataFrame, index: DataFrame, least: int = 6) -> DataFrame:
-    """commune, doc, name, local: places whose key of ``least`` characters or more stands in the text as whole words."""
-    keys = index.where(F.length("key") >= least).select("commune", "key", "name", "local", F.size(F.split("key", " ")).alias("n")).distinct()
+    """commune, doc, name, local, turn: places whose key of ``least`` characters or more stands in the text as whole words, and
+    the first turn of such a key; an index without turns is in order of names."""
+    turn = F.col("turn") if "turn" in index.columns else F.col("name")
+    keys = index.where(F.length("key") >= least).select("commune", "key", "name", "local", F.size(F.split("key", " ")).alias("n"), turn.alias("turn"))
     sizes = keys.groupBy("commune").agg(F.collect_set("n").alias("sizes"))
     runs = texts.join(sizes, "commune").select("commune", "doc", "words", F.explode("sizes").alias("n")).where(F.size("words") >= F.col("n"))
     spread = runs.select("commune", "doc", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))).alias("key"))
-    return spread.distinct().join(keys, ["commune", "key"]).select("commune", "doc", "name", "local").distinct()
+    met = spread.distinct().join(keys, ["commune", "key"])
+    return met.groupBy("commune", "doc", "name").agg(F.max("local").alias("local"), F.min("turn").alias("turn")).select("commune", "doc", "name", "local", "turn")

@@ -185,6 +185,25 @@ def undated_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("k"), "date_debut", "lieu", "statut", F.col("motif_verification").alias("motif"), F.array_join("avertissements", ",").alias("avertissements"), F.col("mesures_texte").alias("mesures"))
 
 
+@query(f"""WITH {BASE}, p AS (SELECT k, unnest(['Zone Alpha', 'Parc Zebre', 'Aire Basse', 'Parc Yack', 'Villefort', 'Mairie']) AS name, unnest(range(6)) AS seen FROM base),
+  named AS (SELECT k, list(name ORDER BY seen) FILTER (seen < 4 AND (k + seen) % 5 <> 0) AS names FROM p GROUP BY k)
+  SELECT k, CASE WHEN k % 6 = 0 THEN 'Grand Clos ; Petit Clos' WHEN k % 6 = 1 THEN 'Petit Clos' ELSE array_to_string(names[1:3], ' ; ') END AS lieu FROM named""")
+def place_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts that name up to four of the map's places, the town itself and a place too general to tell, in an order of their
+    own: the first three of the map's order stand; a local place, told by name or alias, stands before all."""
+    k, names = F.col("k"), ["Zone Alpha", "Parc Zebre", "Aire Basse", "Parc Yack"]
+    told = F.array_join(F.array_compact(F.array(*[F.when((k + i) % 5 != 0, n) for i, n in reversed(list(enumerate(names)))], F.lit("Villefort"), F.lit("Mairie"))), ", ")
+    own = F.when(k % 6 == 0, " au Petit Clos et au Clos du Haut").when(k % 6 == 1, " au Petit Clos").otherwise("")
+    text = F.concat(F.lit("Arrêté temporaire N°: 1/2023\nObjet : Déménagement\nLe Maire,\nARRÊTENT\nArticle 1 : Le samedi 4 juillet, le stationnement sera interdit à "), told, own, F.lit("\nArticle dernier : recours\n"))
+    acts = rendered.base(spark, sf_dir).select("commune", k.alias("id"), text.alias("text"), F.lit(None).cast("date").alias("decided"))
+    towns = table(spark, sf_dir, "nation").select(F.col("n_name").alias("commune"))
+    places = towns.select("commune", F.posexplode(F.array(*[F.lit(n) for n in (*names, "Villefort", "Mairie")])).alias("seen", "name")).withColumn("geometry", F.lit(None).cast("string"))
+    clos = F.array(F.struct(F.lit("Petit Clos").alias("nom"), F.array().cast("array<string>").alias("alias"), F.lit(0).alias("rank")), F.struct(F.lit("Grand Clos").alias("nom"), F.array(F.lit("Clos du Haut")).alias("alias"), F.lit(1).alias("rank")))
+    local = towns.select("commune", F.explode(clos).alias("c")).select("commune", "c.*", F.lit("").alias("osm_nom"), F.lit(None).cast("string").alias("geometry"))
+    rows = extraction.decree_rows(acts, rendered.keys(spark, sf_dir), today(), town="Villefort", index=streets.place_index(places, local))
+    return rows.select(F.col("id").alias("k"), "lieu")
+
+
 @query(f"""WITH {PERIODS} SELECT k, concat_ws(' ; ', CASE WHEN date_debut IS NULL THEN 'dates non identifiées' END, CASE WHEN house % 4 = 0 THEN 'localisation absente' WHEN house % 4 = 1 THEN 'localisation approximative' END,
   CASE WHEN date_fin - date_debut > 35 THEN NULL END) AS motif, CASE WHEN date_debut IS NULL OR house % 4 < 2 THEN 'a_verifier' ELSE 'publie' END AS statut FROM periods""")
 def publication_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +383,7 @@ words AS (SELECT *, lower(name) AS key, lower(split_part(name, ' ', 1)) || ' ' |
 @query(f"""WITH {STREETS}, f AS (SELECT DISTINCT commune, name, unnest([key, regexp_replace(key, 's\\b', '', 'g')]) AS key FROM words), s AS (SELECT commune, short AS key, min(name) AS name FROM words GROUP BY ALL HAVING count(DISTINCT name) = 1)
   SELECT commune, key, name FROM f UNION ALL SELECT commune, key, name FROM s WHERE (commune, key) NOT IN (SELECT (commune, key) FROM f)""")
 def street_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendered.keys(spark, sf_dir)
+    return rendered.keys(spark, sf_dir).select("commune", "key", "name")
 
 
 @query(f"WITH {STREETS} SELECT commune, name FROM streets")
