@@ -123,19 +123,35 @@ def line_length(line: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda t, x: t + x)
 
 
+#: Levels of cells, each twice as wide as the one before; at the last one a cell is as wide as a country.
+LEVELS = 14
+
+
+def _dealt(segments: DataFrame, reach: float) -> DataFrame:
+    """segments (s: struct of two points) by level and cell: at the level where a cell is as wide as the segment, in four cells
+    at most, however long it is."""
+    extent = F.greatest(F.abs(F.col("s.b.x") - F.col("s.a.x")), F.abs(F.col("s.b.y") - F.col("s.a.y")))
+    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(reach)) / reach)))).cast("int")
+    cell = lambda v: F.floor(v / (reach * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+    span = lambda k: F.sequence(cell(F.least(f"s.a.{k}", f"s.b.{k}")), cell(F.greatest(f"s.a.{k}", f"s.b.{k}")))
+    return segments.withColumn("level", level).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+
+
 def common_streets(asked: DataFrame, streets: DataFrame, reach: float = 60.0) -> DataFrame:
     """commune, id, street, away: the street within reach of both points whose distances sum to the least.
 
-    Segments and points are dealt to square cells of reach metres; a point looks into its own and the eight around."""
+    Long segments are dealt to wide square cells, short ones to those of reach metres; a point looks, at each level that
+    occurs, into its own cell and the eight around."""
     ends = F.explode(F.zip_with(F.slice("part", 1, F.size("part") - 1), F.slice("part", 2, F.size("part") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     segments = streets.select("commune", F.col("name").alias("street"), F.explode("parts").alias("part")).where(F.size("part") > 1).select("commune", "street", ends.alias("s"))
-    cell = lambda v: F.floor(v / reach).cast("long")
-    span = lambda k: F.sequence(cell(F.least(f"s.a.{k}", f"s.b.{k}")), cell(F.greatest(f"s.a.{k}", f"s.b.{k}")))
-    dealt = segments.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    dealt = _dealt(segments, reach)
+    levels = sorted(r.level for r in dealt.select("level").distinct().collect()) or [0]
     points = asked.select("commune", "id", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("p")), F.struct(F.lit(1).alias("end"), F.col("q").alias("p")))).alias("e")).select("commune", "id", "e.end", "e.p")
     near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    looked = points.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("commune", "id", "end", "p", (cell(F.col("p.x")) + F.col("dx")).alias("cx"), (cell(F.col("p.y")) + F.col("dy")).alias("cy"))
-    met = looked.join(dealt, ["commune", "cx", "cy"])
+    own = lambda v: F.floor(v / (reach * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+    looked = points.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
+    looked = looked.select("commune", "id", "end", "p", "level", (own(F.col("p.x")) + F.col("dx")).alias("cx"), (own(F.col("p.y")) + F.col("dy")).alias("cy"))
+    met = looked.join(dealt, ["commune", "level", "cx", "cy"])
     dx, dy = F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("p.x") - F.col("s.a.x")) * dx + (F.col("p.y") - F.col("s.a.y")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12))))
     away = F.hypot(F.col("p.x") - F.col("s.a.x") - t * dx, F.col("p.y") - F.col("s.a.y") - t * dy)
@@ -144,6 +160,20 @@ def common_streets(asked: DataFrame, streets: DataFrame, reach: float = 60.0) ->
     return both.groupBy("commune", "id").agg(F.min_by(F.struct("street", "away"), F.struct("away", "street")).alias("x")).select("commune", "id", "x.street", "x.away")
 
 
+#: Why two points give no stretch.
+APART, NO_WAY = "Les deux points ne sont pas sur une même rue (cliquez au plus près de la voie).", "Impossible de suivre {} entre ces deux points."
+
+
+def stretches_of_points(asked: DataFrame, streets: DataFrame) -> DataFrame:
+    """commune, id, street, metres, line, error of each pair of points (commune, id, p, q): the stretch between them along
+    their common street, its length in whole metres, or why there is none."""
+    named = asked.select("commune", "id", "p", "q").join(common_streets(asked, streets).select("commune", "id", "street"), ["commune", "id"], "left")
+    drawn = stretches_between(named.where("street is not null"), streets).select("commune", "id", "line")
+    met = named.join(drawn, ["commune", "id"], "left")
+    error = F.when(F.col("street").isNull(), APART).when(F.col("line").isNull(), F.replace(F.lit(NO_WAY), F.lit("{}"), F.col("street")))
+    return met.select("commune", "id", "street", F.bround(line_length(F.col("line"))).cast("long").alias("metres"), "line", error.alias("error"))
+
+
 def worst_quality(qualities: Column, has_geometry: Column) -> Column:
     """The least precise of a decree's locations; "approx" if that is none though something was drawn."""
     order = F.array(*[F.lit(q) for q in K.QUALITIES])

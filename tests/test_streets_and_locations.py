@@ -269,3 +269,27 @@ def test_map_data_becomes_a_reference(spark, tmp_path):
     assert all(r["centre"] == pytest.approx([0.005, 0.005]) and r["qualite_geo"] == "precise" for r in got) and len(got) == 2
     none = osm.read_osm_boundary(spark, str(path), "c", "00000")
     assert tuple(geocode.map_centres(ways, geocode.boundary_rings(none)).first())[1:] == pytest.approx((0.02, 0.005))
+
+
+def test_long_streets_are_dealt_to_few_cells(spark):
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    rng = random.Random(4)
+    lines = [("c", f"s{i}", [[point(rng.uniform(0, 3000), rng.uniform(0, 3000)), point(rng.uniform(0, 3000), rng.uniform(0, 3000))]]) for i in range(60)] + [("c", "long", [[point(-20000, 100), point(20000, 130)]])]
+    lines += [("c", f"t{i}", [[point(x, y), point(x + rng.uniform(-50, 50), y + 20)]]) for i in range(200) for x, y in [(rng.uniform(0, 3000), rng.uniform(0, 3000))]]
+    table = spark.createDataFrame(lines, f"commune string, name string, parts {geocode.PARTS}")
+    segments = table.select("commune", F.col("name").alias("street"), F.struct(F.col("parts")[0][0].alias("a"), F.col("parts")[0][1].alias("b")).alias("s"))
+    assert geocode._dealt(segments, 60.0).count() <= 4 * len(lines)
+    asked = [("c", i, point(x, y), point(x + rng.uniform(-60, 60), y + rng.uniform(-60, 60))) for i in range(150) for x, y in [(rng.uniform(0, 3000), rng.uniform(0, 3000))]]
+    got = {r.id: (r.street, r.away) for r in geocode.common_streets(spark.createDataFrame(asked, f"commune string, id int, p {geocode.POINT}, q {geocode.POINT}"), table).collect()}
+
+    def away(p, a, b):
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        t = max(0.0, min(1.0, ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / max(dx * dx + dy * dy, 1e-12)))
+        return ((p["x"] - a["x"] - t * dx) ** 2 + (p["y"] - a["y"] - t * dy) ** 2) ** 0.5
+
+    want = {}
+    for _, i, p, q in asked:
+        near = [(away(p, *parts[0]) + away(q, *parts[0]), name) for _, name, parts in lines if away(p, *parts[0]) <= 60 and away(q, *parts[0]) <= 60]
+        if near:
+            want[i] = (min(near)[1], pytest.approx(min(near)[0]))
+    assert got == want and len(want) > 50
