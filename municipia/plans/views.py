@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from municipia.functions import classify
 from municipia.functions import constants as K
 from municipia.functions.text import matches_all_words
+from municipia.sources.tables import written
 
 
 def last_day(start: Column, end: Column) -> Column:
@@ -183,13 +184,22 @@ def status_counts(decrees: DataFrame) -> DataFrame:
     return decrees.groupBy("statut").agg(F.count("*").alias("n"))
 
 
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """rows (without repeats in group and order) with ``place``, their number from 0 within the group in ascending order.
+
+    Rows are dealt to ranges of (group, order) and numbered within their range; the rows of the group in ranges before come on
+    top. So a group of any size is spread over as many tasks as it has ranges."""
+    ranges = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = written(rows.repartitionByRange(ranges, group, *order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "__range").agg(F.count("*").alias("n"))
+    before = counts.select(group, "__range", (F.sum("n").over(Window.partitionBy(group).orderBy("__range")) - F.col("n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order)) - 1
+    met = dealt.withColumn("__within", within).join(before, [group, "__range"])
+    return met.withColumn("place", F.col("__before") + F.col("__within")).drop("__range", "__before", "__within")
+
+
 def map_layer(rows: DataFrame) -> DataFrame:
     """commune, fid, id, role, colour, geometry: a row for each drawn geometry of decrees (id, impacts, features array of
     struct<role, geometry>), numbered in list order within the commune."""
-    from pyspark.sql import Window
-
     spread = rows.select("commune", "id", "order_key", classify.line_colour(F.col("impacts")).alias("colour"), F.posexplode("features").alias("k", "f"))
-    fid = F.row_number().over(Window.partitionBy("commune").orderBy("order_key", "id", "k")) - 1
-    return spread.select("commune", fid.alias("fid"), "id", F.coalesce("f.role", F.lit("impact")).alias("role"), "colour", F.col("f.geometry").alias("geometry"))
-
-
+    return numbered(spread, "commune", "order_key", "id", "k").select("commune", F.col("place").alias("fid"), "id", F.coalesce("f.role", F.lit("impact")).alias("role"), "colour", F.col("f.geometry").alias("geometry"))
