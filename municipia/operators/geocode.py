@@ -5,7 +5,7 @@ Points are structs (x, y) in the metres of their commune; a street's parts are a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from municipia.functions import constants as K
 from municipia.operators import geometry as G
 from municipia.operators.locations import _arrow, guarded
 from municipia.operators.streets import sequence_ratio
+from municipia.sources.tables import written
 
 POINT = "struct<x:double,y:double>"
 PARTS = f"array<array<{POINT}>>"
@@ -61,6 +62,39 @@ def read_through(wanted: DataFrame, cache: DataFrame, fresh: DataFrame) -> tuple
     return answers, kept
 
 
+#: Answers of a geocoder to keys (commune, street, number): candidates, a row without any, or one that failed.
+ANSWERS = "commune string, street string, number int, found_street string, score double, housenumber string, x double, y double, failed boolean"
+ANSWERS_NAMES = [c.split()[0] for c in ANSWERS.split(", ")]
+CACHE = "commune string, street string, number int, x double, y double"
+
+
+def look_up(wanted: DataFrame, cache: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(addresses: commune, street, number, x, y; pending: commune, street, num; what the cache gains) for the wanted numbers.
+
+    wanted: commune, street, num. A number and its neighbours are looked for in turn up to the first that there is. cache:
+    CACHE, without a place where there is known to be none. answer: ANSWERS to the keys that the cache lacks. The best candidate
+    that can be trusted (``valid_candidates``) is a new address; none is a new miss; a failed or unanswered key is neither, and
+    the numbers whose search came by it are pending. Only keys that some search came by are cached, as written tables."""
+    key = ["commune", "street", "number"]
+    tried = wanted.select("commune", "street", "num").distinct().select("commune", "street", "num", F.posexplode(F.array(*[F.lit(d) for d in NEIGHBOURS])).alias("rank", "step"))
+    tried = written(tried.withColumn("number", F.col("num") + F.col("step")).where("number > 0").drop("step"))
+    known = tried.select(*key).distinct().join(cache.select(*key, "x", "y", F.lit(True).alias("cached")), key, "left")
+    told = written(answer(known.where("cached is null").select(*key)).select(*ANSWERS_NAMES))
+    trusted = valid_candidates(told.where("not coalesce(failed, false)").withColumn("num", F.col("number"))).groupBy(*key).agg(F.max_by(F.struct("x", "y"), F.struct("score", -F.col("x"), -F.col("y"))).alias("best"))
+    heard = told.groupBy(*key).agg(F.bool_or(F.coalesce("failed", F.lit(False))).alias("failed")).join(trusted, key, "left")
+    met = known.join(heard, key, "left")
+    at = F.when(F.col("cached"), F.when(F.col("x").isNotNull(), F.struct("x", "y"))).otherwise(F.col("best"))
+    lost = F.col("cached").isNull() & at.isNull() & F.coalesce("failed", F.lit(True))
+    settled = met.select(*key, at.alias("at"), lost.alias("lost"), F.col("cached").isNull().alias("new"))
+    found = tried.join(settled, key)
+    first = found.groupBy("commune", "street", "num").agg(F.min(F.when(F.col("at").isNotNull(), F.col("rank"))).alias("first"))
+    came_by = written(found.join(first, ["commune", "street", "num"]).where("first is null or rank <= first").drop("first"))
+    seen = came_by.select(*key, "at", "lost", "new").distinct()
+    addresses = seen.where("at is not null").select(*key, "at.x", "at.y")
+    pending = came_by.where("lost").select("commune", "street", "num").distinct()
+    return addresses, pending, seen.where("new and not lost").select(*key, "at.x", "at.y")
+
+
 def mean_point(points: DataFrame, *keys: str) -> DataFrame:
     """keys, point: the mean of an anchor's one or two addresses, which is precise if there is any."""
     return points.groupBy(*keys).agg(F.avg("point.x").alias("x"), F.avg("point.y").alias("y")).select(*keys, F.struct("x", "y").alias("point"), F.lit("precise").alias("quality"))
