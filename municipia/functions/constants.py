@@ -21,7 +21,6 @@ IMPACTS = {
 }
 STATUSES = ("publie", "a_verifier", "masque")
 QUALITIES = ("none", "approx", "street", "precise")
-STATES = {"en_cours": "En cours", "a_venir": "À venir", "termine": "Terminé", "inconnu": "Dates à préciser"}
 
 MONTHS = {
     "janvier": 1, "janv": 1, "fevrier": 2, "fevr": 2, "fev": 2, "mars": 3, "avril": 4, "avr": 4, "mai": 5, "juin": 6,
@@ -90,7 +89,6 @@ DURATION = r"(?iu)dur[ée]e[^.;]{0,40}?estim[ée]e?\s+à\s+(\d+|un|une|deux|troi
 RANGE_LINK = r"(?i)^[\s,]*(?:(?:a|à|de|des)?\s*\d{1,2}\s*(?:h|heures)\s*\d{0,2}[\s,]*)?(?:et\s+)?(?:au|jusqu)\b"
 WORKS_END = r"(?iu)fin d(?:u|es) (?:défilé|travaux|manifestation)"
 DECREE_NUMBER = r"(?i)^\s*AT\s*\d+\s*/\s*\d+\s*$"
-OSM_PLACE_TAGS = ("amenity", "leisure", "building", "shop", "tourism", "landuse")
 
 # --- fixed values: thresholds -----------------------------------------------------------------------------------------
 

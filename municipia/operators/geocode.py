@@ -238,10 +238,6 @@ def geojson_error(types: Column, roles: Column) -> Column:
     return F.when(types.isNull() | (F.size(types) > 50), "GeoJSON invalide").when(~F.forall(types, lambda t: F.array_contains(allowed, t)), "Type de géométrie non pris en charge")
 
 
-def role_or_impact(role: Column) -> Column:
-    return F.when(role.isin("impact", "deviation"), role).otherwise("impact")
-
-
 def lonlat_error(lon: Column, lat: Column) -> Column:
     return F.when(~F.coalesce(lon.between(-180, 180) & lat.between(-90, 90), F.lit(False)), "Coordonnées invalides")
 

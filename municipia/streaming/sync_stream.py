@@ -1,7 +1,7 @@
-"""The registry sync as an incremental run: the listing snapshot that has arrived is one batch against the decree table.
+"""The tracking of the registry as an incremental run: the listing snapshot that has arrived is one batch against the table.
 
-The table has a folder for each batch (v00000000, v00000001, ...). A batch reads its predecessor's folder and overwrites its
-own, so a batch that is run again after a failure gives the same table.
+The table is kept in versions (``sources.versions``): a batch reads and writes the buckets of the communes that arrived, under
+its own number, so a batch that is run again after a failure gives the same table. ``decree_sync`` reads and draws acts as well.
 """
 
 from __future__ import annotations
@@ -14,24 +14,12 @@ from pyspark.sql.types import StructType
 
 from municipia import schemas
 from municipia.operators import sync
+from municipia.sources.versions import VersionedTable
 
 STATE = f"commune string, id string, numero string, date_decision date, date_publication date, statut string, motif_verification string, modifie_manuellement boolean, erreur string, tentatives int, suivi_registre {schemas.TRACKING}"
 SNAPSHOT = "commune string, id string, numero string, objet string, date_decision date, date_publication date, signature string, seen_on date"
 
 
-def version(folder: str, batch: int) -> str:
-    return f"{folder}/v{batch:08d}"
-
-
-def last_version(spark: SparkSession, folder: str) -> int | None:
-    """The last batch whose table is whole; none before the first run."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath() for f in files.listStatus(path)] if files.exists(path) else []
-    whole = [p.getName() for p in names if p.getName().startswith("v") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max((int(n[1:]) for n in whole), default=None)
-
-
 def ingest_as_published(acts: DataFrame) -> DataFrame:
     """Rows for acts (commune, id, act, changed) whose text isn't read here: published as listed."""
     a = F.col("act")
@@ -63,15 +51,17 @@ def next_state(state: DataFrame, acts: DataFrame, start_year: int, ingest: Calla
 def run_available(spark: SparkSession, snapshots: str, folder: str, start_year: int, ingest: Callable[[DataFrame], DataFrame] = ingest_as_published) -> DataFrame:
     """Work off the snapshot files (Parquet) that have arrived since the last run, as one batch; returns the table."""
     source = spark.readStream.schema(SNAPSHOT).parquet(snapshots)
+    table = VersionedTable(spark, folder, STATE)
 
     def step(acts: DataFrame, batch: int) -> None:
-        own = acts.sparkSession
-        state = own.read.schema(STATE).parquet(version(folder, batch - 1)) if batch else own.createDataFrame([], STATE)
-        next_state(state, acts, start_year, ingest).write.mode("overwrite").parquet(version(folder, batch))
-        done.append(batch)
-
-    done: list[int] = []
-    query = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = done[-1] if done else last_version(spark, folder)
-    return spark.read.schema(STATE).parquet(version(folder, last)) if last is not None else spark.createDataFrame([], STATE)
+        touched = table.touched(acts)
+        if not touched:  # an empty snapshot says nothing
+            return
+        before = max((v for v in table.versions() if v < batch), default=None)
+        held = table.read(before, touched) if before is not None else spark.createDataFrame([], STATE)
+        arrived = acts.select("commune").distinct()
+        after = next_state(held.join(arrived, "commune", "left_semi"), acts, start_year, ingest)
+        table.commit(batch, after.unionByName(held.join(arrived, "commune", "left_anti")), touched)
+
+    source.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return table.read()
