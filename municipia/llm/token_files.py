@@ -35,8 +35,8 @@ BLOCK_IDS, PERCENTILE = 256, 90
 SEGMENT_IDS = 1 << 18
 #: Distinct words that a worker keeps; beyond it the table is begun anew, which changes no result.
 TABLE_SIZE = 600_000
-#: Bytes of text that are encoded together.
-ENCODED_BYTES = 6_000_000
+#: Bytes of text that are encoded together, and those of a range of doc_id at most, about.
+ENCODED_BYTES, RANGE_BYTES = 6_000_000, 64_000_000
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -268,7 +268,7 @@ def word_table(path: str) -> WordTable:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every whole text and write the ids, each document's closed by end_id, in ascending doc_id order.
 
-    One shuffle, of the texts into ranges of doc_id; a task then encodes, packs and writes its range.
+    One shuffle, of the texts into ranges of doc_id, as many as their bytes ask for; a task then encodes, packs and writes its range.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -304,7 +304,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if held:
             yield closed()
 
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     tied = F.xxhash64("text")  # parts the rows of one id, or of none
     ranges = docs.select("doc_id", "text", tied.alias("tied")).repartitionByRange(parts, "doc_id", "tied").sortWithinPartitions("doc_id", "tied", "text").drop("tied")
     ranges.mapInArrow(run, f"shard int, segment long, first_id long, n_ids long, doc_ids array<{kind}>, lengths array<int>, payload binary").write.parquet(path)
