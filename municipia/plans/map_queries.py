@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from municipia.operators import geocode
-from municipia.plans.queries import query
-from municipia.plans.rendered import BASE, base, table
+from municipia.operators import geocode, locations
+from municipia.plans import extraction
+from municipia.plans.queries import STREETS, query, today
+from municipia.plans.rendered import BASE, base, keys, table
+from municipia.plans.rendered import streets as streets_of
 
 
 def _point(x, y):
@@ -80,3 +82,30 @@ def cached_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New addresses and new misses; failures are not kept."""
     return _looked_up(spark, sf_dir)[2].select("commune", "street", "number", "x")
+
+
+# --- wordings of places -------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {STREETS}, s AS (SELECT commune, name AS a, seen, lead(name) OVER w AS b, lead(name, 2) OVER w AS c FROM streets WINDOW w AS (PARTITION BY commune ORDER BY seen))
+  SELECT commune, seen, CASE seen % 3 WHEN 0 THEN a || ', entre ' || b || ' et ' || c WHEN 1 THEN 'de 12 ' || a || ' à 40 ' || b ELSE a END AS said FROM s WHERE c IS NOT NULL""")
+def relocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A free wording for each street and its next two: a stretch between two cross streets, one between two addresses of
+    different streets, or a street without more; read and worded again."""
+    order = Window.partitionBy("commune").orderBy("seen")
+    s = streets_of(spark, sf_dir).select("commune", F.col("name").alias("a"), "seen", F.lead("name").over(order).alias("b"), F.lead("name", 2).over(order).alias("c")).where("c is not null")
+    way = F.col("seen") % 3
+    text = F.when(way == 0, F.concat(F.lit("Travaux "), "a", F.lit(", entre "), "b", F.lit(" et "), "c")).when(way == 1, F.concat(F.lit("Travaux du 12 "), "a", F.lit(" jusqu'au 40 "), "b")).otherwise(F.concat(F.lit("Travaux "), "a"))
+    found = locations.relocate(s.select("commune", F.col("seen").alias("doc"), text.alias("text")), keys(spark, sf_dir))
+    return found.select("commune", F.col("doc").alias("seen"), locations.location_text(F.col("locations")).alias("said"))
+
+
+@query(f"""WITH {BASE} SELECT k, CASE WHEN kind = 4 THEN street ELSE '' END AS deviation FROM base""")
+def deviation_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts of which one in five has an article that leads the traffic round by its street."""
+    b, kind = base(spark, sf_dir), F.col("kind")
+    more = F.when(kind == 4, F.concat(F.lit("\nArticle 2 : Une déviation sera mise en place par "), "street")).otherwise("")
+    text = F.concat(F.lit("Arrêté temporaire N°: 1/2023\nObjet : Pose de benne\nLe Maire,\nARRÊTENT\nArticle 1 : Le samedi 4 juillet, le stationnement sera interdit"), more, F.lit("\nArticle dernier : recours\n"))
+    acts = b.select("commune", F.col("k").alias("id"), text.alias("text"), F.lit(None).cast("date").alias("decided"))
+    rows = extraction.decree_rows(acts, keys(spark, sf_dir), today())
+    return rows.select(F.col("id").alias("k"), F.array_join("deviation", ",").alias("deviation"))
