@@ -203,11 +203,23 @@ def added_up(counts: DataFrame) -> DataFrame:
 
 
 def own_counts(place: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How often the code at each place stands in the document of that place. n: how often it occurs in all documents."""
+    """How often the code at each place stands in the document of that place. n: how often it occurs in all documents.
+
+    Document, code and place are sorted as one number where 63 bits hold them."""
     out = np.ones(len(place), np.int64)
     several = np.flatnonzero(n > 1)
-    _, at, often = np.unique(doc[several] * (1 + int(place.max(initial=0))) + place[several], return_inverse=True, return_counts=True)
-    out[several] = often[at]
+    if not len(several):
+        return out
+    at_bits, code_bits = int(len(place)).bit_length(), int(place.max()).bit_length()
+    if at_bits + code_bits + int(doc[-1]).bit_length() > 63:
+        _, at, often = np.unique(doc[several] * (1 + int(place.max())) + place[several], return_inverse=True, return_counts=True)
+        out[several] = often[at]
+        return out
+    packed = np.sort((((doc[several] << code_bits) | place[several]) << at_bits) | several)
+    keys = packed >> at_bits
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    often = np.diff(first, append=len(keys))
+    out[packed & ((1 << at_bits) - 1)] = np.repeat(often, often)
     return out
 
 
