@@ -85,6 +85,31 @@ def test_quality_of_awkward_rows(awkward, no_docs, spark):
     assert quality_ranking.quality_scores(no_docs, labels).count() == 0
 
 
+def test_every_labelled_row_and_every_pair_counts(spark):
+    """The weights are the least of the loss over all pairs of all labelled rows, the threshold a quantile of all worths."""
+    rng = np.random.default_rng(4)
+    good = rng.random(700) < 0.7
+    x = rng.normal(size=(700, len(quality_ranking.FEATURES))) + 0.4 * good[:, None] * rng.random(len(quality_ranking.FEATURES))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    ranking = quality_ranking.fit(table, labels)
+    assert ranking.mean == pytest.approx(x.mean(axis=0).tolist()) and ranking.scale == pytest.approx(x.std(axis=0).tolist())
+    z, w = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -4, 4), np.array(ranking.weights)
+    d = (z[good][:, None] - z[~good]).reshape(-1, z.shape[1])
+    slope = d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - quality_ranking.RIDGE * w
+    assert np.abs(slope).max() < 1e-7
+    worths = np.sort(z @ w)
+    bad = int((~good).sum())
+    assert ranking.threshold == pytest.approx((worths[bad - 1] + worths[bad]) / 2)
+
+
+def test_threshold_among_rows_of_one_worth(spark):
+    for values in ([1.0] * 9, [0.0, 1.0, 1.0, 1.0, 2.0], [0.1, 0.1 + 1e-16, 0.1 + 2e-16, 1e9], [3.0, -7.0, 5.0]):
+        worths = spark.createDataFrame([(v,) for v in values], "worth double")
+        for place in range(1, len(values)):
+            assert quality_ranking.placed(worths, place) == tuple(sorted(values)[place - 1 : place + 1])
+
+
 def test_lm_models_are_probabilities_and_prefer_the_target(marked, awkward, no_docs):
     docs, labels = marked
     got = {r["doc_id"]: r["score"] for r in lm_scoring.loss_difference(docs, labels.where("quality = 1")).collect()}
