@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ MAGIC, HEAD = b"PFB1", 12
 BLOCK_IDS, PERCENTILE = 256, 90
 #: A segment is closed once it has so many ids; it always holds whole documents.
 SEGMENT_IDS = 1 << 18
-#: Distinct words that a worker keeps; beyond it the table is begun anew, which changes no result.
-TABLE_SIZE = 600_000
+#: Distinct stems of words that a worker keeps; beyond it the table is begun anew, which changes no result.
+TABLE_SIZE = 1_000_000
 #: Bytes of text that are encoded together, and those of a range of doc_id at most, about.
 ENCODED_BYTES, RANGE_BYTES = 6_000_000, 64_000_000
 
@@ -53,20 +54,26 @@ def _width(values: np.ndarray) -> np.ndarray:
     return np.where(values > 0, np.floor(np.log2(np.maximum(values, 1))).astype(np.int64) + 1, 0)
 
 
+def _bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The lowest bits of each number of a table, the lowest first."""
+    wide = np.ascontiguousarray(values, "<u2" if width <= 16 else "<u4")
+    return np.unpackbits(wide.view(np.uint8).reshape(*values.shape, -1), axis=2, bitorder="little")[:, :, :width]
+
+
 def pack(ids: np.ndarray, block_ids: int = BLOCK_IDS, percentile: float = PERCENTILE) -> bytes:
     """The payload of these ids (uint32)."""
     n = len(ids)
     count = -(-n // block_ids)
     if not n:
         return MAGIC + np.array([0, 0, 0], "<u4").tobytes()
-    padded = np.full(count * block_ids, ids[-1], np.int64)
+    padded = np.full(count * block_ids, ids[-1], np.uint32)
     padded[:n] = ids
     rows = padded.reshape(count, block_ids)
     low = rows.min(axis=1)
     rows = rows - low[:, None]
     rank = min(block_ids - 1, int(np.ceil(block_ids * percentile / 100)) - 1)
     width = _width(np.partition(rows, rank, axis=1)[:, rank])
-    over = rows >= (np.int64(1) << width)[:, None]
+    over = rows > ((np.int64(1) << width) - 1).astype(np.uint32)[:, None]
     exceptions = over.sum(axis=1)
     packed = -(-block_ids * width // 8)
     sizes = 7 + packed + 6 * exceptions
@@ -78,8 +85,7 @@ def pack(ids: np.ndarray, block_ids: int = BLOCK_IDS, percentile: float = PERCEN
     for w in np.unique(width):
         if w:
             mine = np.flatnonzero(width == w)
-            bits = ((rows[mine][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(mine), -1)
-            raw = np.packbits(bits, axis=1, bitorder="little")
+            raw = np.packbits(_bits(rows[mine], int(w)).reshape(len(mine), -1), axis=1, bitorder="little")
             body[starts[mine, None] + 7 + np.arange(raw.shape[1])] = raw
     block, place = np.nonzero(over)
     body[_spread(starts[:-1] + 7 + packed, 2 * exceptions)] = place.astype("<u2").view(np.uint8)
@@ -106,7 +112,9 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None, block_ids: i
             mine = np.flatnonzero(width == w)
             raw = body[starts[mine, None] + 7 + np.arange(-(-block_ids * w // 8))]
             bits = np.unpackbits(raw, axis=1, count=block_ids * int(w), bitorder="little").reshape(len(mine), block_ids, w)
-            rows[mine] = bits.astype(np.int64) @ (np.int64(1) << np.arange(w))
+            wide = np.zeros((len(mine), block_ids, 16 if w <= 16 else 32), np.uint8)
+            wide[:, :, :w] = bits
+            rows[mine] = np.packbits(wide, axis=2, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, :, 0]
     place = body[_spread(starts + 7 + packed, 2 * exceptions)].copy().view("<u2")
     rows[np.repeat(np.arange(len(starts)), exceptions), place] = body[_spread(starts + 7 + packed + 2 * exceptions, 4 * exceptions)].copy().view("<u4")
     ids = (rows + low[:, None]).astype(np.uint32).ravel()
@@ -131,42 +139,75 @@ def _open(c: str) -> bool:
 #: A word without white space.
 PLAIN = re.compile(r"[^\s\u180e\u200b\ufeff]+")
 #: A pre-token ends before one of these behind a letter, if nothing but white space comes after.
-MARKS = frozenset(".,;:!?")
+MARKS = ".,;:!?"
+#: A line of letters, by every release of Unicode, and of a mark at most.
+LETTERS = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[{MARKS}]?$"
+
+
+def _byte_names() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    out = np.arange(256, dtype="<u2")
+    out[hidden] = np.arange(256, 256 + len(hidden))
+    return out
+
+
+BYTE_NAMES = _byte_names()
+#: A line feed and the first byte of one of the letters.
+BESIDE = re.compile("Ċ[A-Za-z%s]" % "".join(chr(BYTE_NAMES[b]) for b in range(0xC3, 0xCA)))
 
 
 class WordTable:
-    """The ids of each distinct word behind a blank, one after another in one array.
+    """The ids of each distinct piece of a word behind a blank, one after another in one array.
 
     A pre-token never reaches over a blank, or a line feed, that has other characters than white space on both sides, nor
     over one mark between a letter and such a place. So a word's ids are those of its lines, and a line's are those of its
-    stem and its last mark; stems are encoded many at a time, parted again where an id starts with a blank or line feed.
+    stem and its last mark, its pieces; stems, each with the blank or line feed ahead of it, are encoded many at a time, parted
+    again where an id starts with that. A stem of letters is one pre-token (two behind a line feed, which no id of letters
+    holds), so the library's model meets it without the pattern that parts pre-tokens.
     A text with a word that is empty or has white space at an end is encoded whole, and so is one that holds an added token.
-    A block of texts is cut, and its words numbered, by Arrow; Python meets each distinct word of a block once.
+    A block of texts is cut, and its words and their pieces numbered, by Arrow; Python meets each distinct stem of a block once.
     """
 
-    UNCLEAN = -1
-
     def __init__(self, path: str, size: int = TABLE_SIZE):
         self.tokenizer, self.size = tokenizer(path), size
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
+        self.of_letters = self._of_letters(vocabulary)
+        self.marks = [np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4") for m in MARKS]
         self._clear()
 
+    def _of_letters(self, vocabulary: dict[str, int]):
+        """The library's tokenizer with this model for stems of letters whose bytes are named, if their pre-tokens are known."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        cut = self.tokenizer.pre_tokenizer
+        known = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.tokenizer.normalizer is None
+        if not known or any(BESIDE.search(t) for t in vocabulary):
+            return None
+        out = Tokenizer(self.tokenizer.model)
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(c, "merged_with_next") for c in "ĠĊ"])
+        return out
+
     def _clear(self) -> None:
-        #: Each word's row; a row's ids are ids[starts[row] : starts[row + 1]].
+        #: Each stem's row, behind those of the marks; a row's ids are ids[starts[row] : starts[row + 1]].
         self.rows: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.ids, self.starts = np.concatenate(self.marks), np.cumsum([0, *map(len, self.marks)])
 
     def _whole(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, words: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number by word, for words that each start with a blank or a line feed."""
         groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        texts, by = ["".join(g) for g in groups], self.tokenizer
+        if letters and self.of_letters:
+            texts, by = [BYTE_NAMES[np.frombuffer(t.encode(), np.uint8)].tobytes().decode("utf-16-le") for t in texts], self.of_letters
         ids, counts = [], []
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, found in zip(groups, by.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             mine = np.array(found.ids, "<u4")
             at = np.flatnonzero(self.opens[mine])
             if len(at) == len(group):
@@ -178,43 +219,80 @@ class WordTable:
                 counts.append(np.array([len(x) for x in alone], np.int64))
         return np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
 
-    def _learn(self, words: list[str]) -> None:
-        """Rows for words that have none."""
-        stems = {m: i for i, m in enumerate(sorted(MARKS))}
-        row, pieces, sizes, plain = len(self.starts) - 1, [], [], PLAIN.fullmatch
-        for word in words:
-            clean = plain(word)
-            lines = (word,) if clean else word.split("\n")
-            if not clean and any(not x or _open(x[0]) or _open(x[-1]) for x in lines):
-                self.rows[word] = self.UNCLEAN
-                continue
-            before, lead = len(pieces), " "
-            for line in lines:
-                if line[-1] in MARKS and line[-2:-1].isalpha():
-                    pieces.append(stems.setdefault(lead + line[:-1], len(stems)))
-                    pieces.append(stems[line[-1]])
-                else:
-                    pieces.append(stems.setdefault(lead + line, len(stems)))
-                lead = "\n"
-            self.rows[word] = row
-            row += 1
-            sizes.append(len(pieces) - before)
-        marks = self._whole(sorted(MARKS))
-        ids, counts = self._joined(list(stems)[len(marks) :])
-        pool, counts = np.concatenate([*marks, ids]), np.concatenate([[len(m) for m in marks], counts]).astype(np.int64)
-        pieces = np.array(pieces, np.int64)
-        new = pool[_spread((np.cumsum(counts) - counts)[pieces], counts[pieces])]
-        ends = np.concatenate([[0], np.cumsum(counts[pieces])])[np.cumsum(np.array(sizes, np.int64))]
-        self.ids, self.starts = np.concatenate([self.ids, new]), np.concatenate([self.starts, self.starts[-1] + ends])
-
-    def _places(self, words: list[str]) -> np.ndarray:
-        """The row of each of these distinct words."""
-        new = [w for w in words if w not in self.rows]
-        if len(self.rows) + len(new) > self.size:
+    def _found(self, stems: list[str]) -> np.ndarray:
+        """The row of each stem, -1 if it has none."""
+        return np.fromiter(map(self.rows.get, stems, repeat(-1)), np.int64, len(stems))
+
+    def _learnt(self, stems: list[str], letters: bool) -> np.ndarray:
+        """The row of each of these distinct stems; those that have none get one."""
+        row = self._found(stems)
+        new = list(compress(stems, (row < 0).tolist()))
+        ids, counts = self._joined(new, letters)
+        row[row < 0] = fresh = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(new))
+        self.rows.update(zip(new, fresh.tolist()))
+        self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        return row
+
+    def _rows_of(self, of_letters: list[str], others: list[str]) -> np.ndarray:
+        """The row of each of these stems, distinct in either list."""
+        most = len(self.rows) + len(of_letters) + len(others)
+        if most > self.size and most - sum(np.count_nonzero(self._found(x) >= 0) for x in (of_letters, others)) > self.size:
             self._clear()
-            new = words
-        self._learn(new)
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return np.concatenate([self._learnt(of_letters, True), self._learnt(others, False)])
+
+    @staticmethod
+    def _cut(word: str) -> list[tuple[str, str]] | None:
+        """The stem and mark of each line of a word; None if one is empty or has white space at an end."""
+        clean = PLAIN.fullmatch(word)
+        lines = (word,) if clean else word.split("\n")
+        if not clean and any(not x or _open(x[0]) or _open(x[-1]) for x in lines):
+            return None
+        marked = ((x[:-1], x[-1]) if x[-1] in MARKS and x[-2:-1].isalpha() else (x, "") for x in lines)
+        return [(("\n" if i else " ") + stem, mark) for i, (stem, mark) in enumerate(marked)]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of these distinct words; the first of each word's and their number; which of the words are unclean and have none."""
+        cut = pc.split_pattern(words, "\n")
+        n_lines = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        lines, first = cut.flatten(), np.cumsum(n_lines) - n_lines
+        odd = ~pc.match_substring_regex(lines, LETTERS).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduceat(odd, first) if len(words) else np.zeros(0, bool)
+        lead = np.ones(len(lines), np.int8)
+        lead[first] = 0
+        taken = ~np.repeat(odd, n_lines)
+        lines = lines.filter(pa.array(taken))
+        lead = pa.array([" ", "\n"], lines.type).take(pa.array(lead[taken]))
+        mark = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(lines, -1), pa.array(list(MARKS), lines.type)), -1).to_numpy()
+        coded = pc.binary_join_element_wise(lead, pc.utf8_rtrim(lines, MARKS), pa.scalar("", lines.type)).dictionary_encode()
+        of_letters = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+        others: dict[str, int] = {}
+        more, n_more, unclean = [], [], odd.copy()  # a mark is told as its place less the number of marks
+        for at, word in zip(np.flatnonzero(odd), words.filter(pa.array(odd)).to_numpy(zero_copy_only=False).tolist(), strict=True):
+            found, before = self._cut(word), len(more)
+            for stem, end in found or ():
+                more.append(others.setdefault(stem, len(others)))
+                if end:
+                    more.append(MARKS.index(end) - len(MARKS))
+            unclean[at] = found is None
+            n_more.append(len(more) - before)
+
+        row = self._rows_of(of_letters, list(others))
+        size = 1 + (mark >= 0)
+        pieces = np.repeat(row[coded.indices.to_numpy()], size)
+        pieces[(np.cumsum(size) - 1)[mark >= 0]] = mark[mark >= 0]
+        more = np.array(more, np.int64)
+        more = np.where(more < 0, more + len(MARKS), np.append(row, 0)[len(of_letters) + np.maximum(more, 0)])
+        n = np.zeros(len(words), np.int64)
+        owner = np.repeat(np.arange(len(words)), n_lines)[taken]
+        np.add.at(n, owner, size)
+        n[odd] = n_more
+        begin = np.cumsum(np.where(odd, 0, n)) - n
+        begin[odd] = len(pieces) + np.cumsum(n_more) - n_more
+        pieces = np.concatenate([pieces, more])
+        count = self.starts[pieces + 1] - self.starts[pieces]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        return self.ids[_spread(self.starts[pieces], count)], ends[begin], ends[begin + n] - ends[begin], unclean
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and their number by text; a null text has none."""
@@ -225,18 +303,19 @@ class WordTable:
         parts = pc.list_value_length(cut).to_numpy().astype(np.int64)
         first = np.cumsum(parts) - parts
         coded = cut.flatten().dictionary_encode()
-        word = coded.indices.to_numpy().astype(np.int64)
+        word = coded.indices.to_numpy()
         heads = cut.flatten().take(pa.array(first)).to_numpy(zero_copy_only=False).tolist()
+        del cut
         behind = np.ones(len(word), bool)
         behind[first] = False
-        used = np.unique(word[behind])
-        row = np.full(len(coded.dictionary), self.UNCLEAN, np.int64)
-        row[used] = self._places(coded.dictionary.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
-        row = row[word]
+        seen = np.zeros(len(coded.dictionary), bool)
+        seen[word[behind]] = True
+        at_word, n_word, not_told = (np.zeros(len(seen), kind) for kind in (np.int64, np.int64, bool))
+        pool, at_word[seen], n_word[seen], not_told[seen] = self._words(coded.dictionary.filter(pa.array(seen)))
 
-        owner = np.repeat(np.arange(len(texts)), parts)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), parts)
         whole = np.zeros(len(texts), bool)
-        whole[owner[behind & (row == self.UNCLEAN)]] = True
+        whole[owner[behind & not_told[word]]] = True
         whole |= np.array([not h or _open(h[-1]) for h in heads])
         for token in self.added:
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
@@ -246,11 +325,10 @@ class WordTable:
         lead = [next(alone) if w else next(starting) for w in whole]
         sizes = np.array([len(x) for x in lead], np.int64)
 
-        pool = np.concatenate([self.ids, *lead])
-        at, count = self.starts[row], self.starts[row + 1] - self.starts[row]
+        at, count = at_word[word], n_word[word]
         count[whole[owner]] = 0
-        at[first], count[first] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
-        return pool[_spread(at, count)], np.add.reduceat(count, first)
+        at[first], count[first] = len(pool) + np.cumsum(sizes) - sizes, sizes
+        return np.concatenate([pool, *lead])[_spread(at, count)], np.add.reduceat(count, first)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids, counts = self.encode_column(pa.array(texts, pa.string()))

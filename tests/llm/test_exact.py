@@ -62,6 +62,20 @@ def test_word_table_is_the_librarys():
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [w.ids for w in want]
 
 
+def test_a_stem_is_encoded_once():
+    """Words that differ in their last mark or lines share their stems; a known stem is not encoded again, and letters need no
+    pattern of pre-tokens."""
+    table = token_files.WordTable(BYTE_MODEL)
+    texts = ["One maison, maison maison. naïve.\nmaison x", "One maison! naïve? maison: a1.\nmaison \u01c5abc, naïve"]
+    encoded = []
+    joined = table._joined
+    table._joined = lambda words, *more: encoded.extend(words) or joined(words, *more)
+    got = [np.frombuffer(x, "<u4").tolist() for t in texts for x in table.encode([t])]
+    assert got == [w.ids for w in token_files.tokenizer(BYTE_MODEL).encode_batch(texts, add_special_tokens=False)]
+    assert sorted(encoded) == sorted([" maison", " naïve", "\nmaison", " x", " a1.", " \u01c5abc"])
+    assert table.of_letters is not None
+
+
 def test_token_files(awkward, no_docs, spark, tmp_path):
     tokenizer = token_files.tokenizer(BYTE_MODEL)
     path = f"file://{tmp_path}/t"
