@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from municipia.llm.shared import blocks, possible, written
+from municipia.llm.shared import blocks, let_go, possible, written
 from municipia.llm.token_files import ENCODED_BYTES, tokenizer, word_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -150,6 +150,26 @@ def first_codes(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(told) - told
 
 
+def ranked(codes: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """Each code's place among the distinct codes, ascending, and their number. Codes have so many bits.
+
+    Code and position are sorted as one number where 63 bits hold them."""
+    at_bits = int(len(codes)).bit_length()
+    if not len(codes) or bits + at_bits > 63:
+        found, place = np.unique(codes, return_inverse=True)
+        return place, len(found)
+    both = (codes << at_bits) | np.arange(len(codes))
+    both.sort()
+    at = both & ((1 << at_bits) - 1)
+    both >>= at_bits
+    fresh = np.empty(len(both), bool)
+    fresh[0] = False
+    np.not_equal(both[1:], both[:-1], out=fresh[1:])
+    place = np.empty(len(codes), np.int64)
+    place[at] = np.cumsum(fresh, out=both)
+    return place, int(both[-1]) + 1
+
+
 def listed_pairs(codes: np.ndarray, three: np.ndarray, first: np.ndarray) -> np.ndarray:
     """All codes of one and two tokens, and for each text that of the two edges before it, which no token ends."""
     return np.concatenate([codes.ravel(), three[first] >> TOKEN_BITS])
@@ -161,6 +181,7 @@ def token_counts(spans: DataFrame, edge: int, bits: int) -> DataFrame:
     the latter likewise. Ascending buckets hold ascending codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for row in batch.select(["span", "target", "lengths", "ids"]).to_pylist():
                 lengths = np.array(row["lengths"])
@@ -191,6 +212,7 @@ def added_up(counts: DataFrame) -> DataFrame:
         return [np.split(np.bincount(place, np.concatenate(n)).astype(np.int64)[place], ends) for n in counts]
 
     def run(rows: pa.Table) -> pa.Table:
+        let_go()
         pairs, threes = [], []
         for steps, follow, last in map(unpacked, rows.column("grams").to_pylist()):
             pairs.append(np.cumsum(steps))
@@ -254,6 +276,7 @@ def loss_difference(docs: DataFrame, target: DataFrame, tokenizer_path: str = TO
     none = np.zeros(0, np.int64)
 
     def run(held: pa.Table, known: pa.Table) -> pa.Table:
+        let_go()
         row = held.select(["lengths", "ids", "target"]).to_pylist()[0]
         lengths = np.array(row["lengths"])
         told = lengths + (lengths > 0)
@@ -261,19 +284,33 @@ def loss_difference(docs: DataFrame, target: DataFrame, tokenizer_path: str = TO
         mine = np.array(row["target"], bool)[doc]
         ends = np.cumsum(told)
         codes, three = token_grams(unpacked(row["ids"])[0], lengths, edge)
-        first = first_codes(lengths)
-        pairs = np.unique(listed_pairs(codes, three, first))
-        place, place_of_three = np.searchsorted(pairs, codes), np.unique(three, return_inverse=True)[1]
+        first, size = first_codes(lengths), codes.shape[1]
+        pairs, n_pairs = ranked(listed_pairs(codes, three, first), PAIR_BITS)
+        last = three & ((1 << TOKEN_BITS) - 1)
+        del codes, three
+        places = [pairs[:size], pairs[size : 2 * size]]
+        context = np.zeros(size, np.int64)  # places of pairs are in the order of their codes, so these give that of threes
+        context[1:] = places[1][:-1]
+        context[first] = pairs[2 * size :]
+        places.append(ranked((context << TOKEN_BITS) | last, TOKEN_BITS + n_pairs.bit_length())[0])
+        del context, last
         parts = [unpacked(x) for x in known.sort_by("bucket").column("n").to_pylist()]
-        losses, counts = [], []
-        for k in range(len(totals)):
+        losses: list[np.ndarray] = [none] * len(totals)
+        own = none
+        for k in reversed(range(len(totals))):  # the background first: its counts are those of all documents
             of_pairs, of_threes = (np.concatenate([none, *(x[k + at] for x in parts)]) for at in (0, 2))
-            counts.append(np.concatenate([of_pairs[place], of_threes[place_of_three][None]]))
-        own = np.stack([own_counts(at, doc, n) for at, n in zip((*place, place_of_three), counts[-1], strict=True)])
-        for n, total, whose in zip(counts, totals, (mine, np.ones(len(doc), bool)), strict=True):
-            p = token_probabilities(n - own * whose, first, ends[told > 0] - 1, total - told[doc] * whose, edge)
+            n = np.stack([of_pairs[places[0]], of_pairs[places[1]], of_threes[places[2]]])
+            if k == len(totals) - 1:
+                own = np.stack([own_counts(at, doc, of) for at, of in zip(places, n, strict=True)])
+                n -= own
+                own *= mine
+                whose = 1
+            else:
+                n -= own
+                whose = mine
+            p = token_probabilities(n, first, ends[told > 0] - 1, totals[k] - told[doc] * whose, edge)
             sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
-            losses.append((sums[ends] - sums[ends - told]) / np.maximum(told, 1))
+            losses[k] = (sums[ends] - sums[ends - told]) / np.maximum(told, 1)
         columns = [pa.array(x, pa.float64(), mask=lengths == 0) for x in (*losses, losses[0] - losses[1])]
         return pa.table([held.column("doc_ids").combine_chunks().flatten(), pa.array(lengths), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 

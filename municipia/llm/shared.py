@@ -82,6 +82,11 @@ def kept(make: Callable[..., Any], *args: Any) -> Any:
     return _kept[make, *args]
 
 
+def let_go() -> None:
+    """Frees what this worker keeps, for tasks that need none of it."""
+    _kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

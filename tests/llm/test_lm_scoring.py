@@ -2,10 +2,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from municipia.llm import lm_scoring
+from municipia.llm import lm_scoring, shared
 
 
 def brute(rows, good):
@@ -82,3 +83,29 @@ def test_a_text_like_the_target_scores_lower(spark):
     good = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
     scores = {r.doc_id: r.score for r in lm_scoring.loss_difference(docs, good).collect()}
     assert max(scores[i] for i in range(0, 80, 2)) < min(scores[i] for i in range(1, 80, 2))
+
+
+def test_tasks_that_count_hold_no_table_of_words(monkeypatch):
+    """What a worker keeps for encoding goes before it counts: both together passed the memory of an executor."""
+
+    class Spans:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(shared, "_kept", {})
+    shared.kept(list, (1, 2))
+    assert list(lm_scoring.token_counts(Spans(), 9, 8)(iter([]))) == [] and not shared._kept
+
+
+@pytest.mark.parametrize("bits", [4, 32, 62])
+def test_places_among_distinct_codes(bits):
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 2, 5000):
+        codes = rng.integers(0, 1 << bits, n)
+        codes[n // 2 :] = codes[: n - n // 2]
+        found, place = np.unique(codes, return_inverse=True)
+        got, count = lm_scoring.ranked(codes, bits)
+        assert got.tolist() == place.tolist() and count == len(found)
