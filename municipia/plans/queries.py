@@ -470,18 +470,20 @@ def address_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocode.mean_point(p, "commune", "street").select("commune", "street", F.col("point.x").alias("x"))
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A street along the x axis for each even supplier and one along the y axis for each odd one, 1000 metres long."""
+def _grid(spark: SparkSession, sf_dir: str, crossed: bool = False) -> DataFrame:
+    """A street along the x axis for each even supplier and one along the y axis for each odd one, 1000 metres long; crossed: as
+    much longer as it takes to meet the next supplier's, however many there are."""
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    along = F.when(k % 2 == 0, F.array(at(F.lit(0), k * 10), at(F.lit(400), k * 10), at(F.lit(1000), k * 10))).otherwise(F.array(at(k * 10, F.lit(0)), at(k * 10, F.lit(1000))))
+    end = F.greatest(F.lit(1000), k * 10 + 20) if crossed else F.lit(1000)
+    along = F.when(k % 2 == 0, F.array(at(F.lit(0), k * 10), at(F.lit(400), k * 10), at(end, k * 10))).otherwise(F.array(at(k * 10, F.lit(0)), at(k * 10, end)))
     return s.select(F.lit("c").alias("commune"), k.cast("string").alias("name"), k.alias("k"), F.array(along).alias("parts"))
 
 
 @query("""SELECT a.s_suppkey::VARCHAR AS a, b.s_suppkey::VARCHAR AS b, (b.s_suppkey * 10)::DOUBLE AS x, (a.s_suppkey * 10)::DOUBLE AS y FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 2 = 0""")
 def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _grid(spark, sf_dir)
+    g = _grid(spark, sf_dir, crossed=True)
     pairs = g.where("k % 2 = 0").select("commune", F.col("name").alias("a"), (F.col("k") + 1).cast("string").alias("b"))
     found = geocode.crossings(pairs, g.select("commune", "name", "parts"))
     return found.select("a", "b", F.round("point.x", 2).alias("x"), F.round("point.y", 2).alias("y"))
